@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.plans import lake
+from lakejobs.plans import conformance, lake
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (lake,):
+for _m in (lake, conformance):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
