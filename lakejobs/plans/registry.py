@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.plans import conformance, lake, telemetry
+from lakejobs.plans import catalog, conformance, lake, telemetry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (lake, conformance, telemetry):
+for _m in (lake, conformance, telemetry, catalog):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
