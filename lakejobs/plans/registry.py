@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.plans import catalog, conformance, lake, telemetry
+from lakejobs.plans import catalog, conformance, lake, telemetry, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (lake, conformance, telemetry, catalog):
+for _m in (lake, conformance, telemetry, catalog, vectors):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
