@@ -30,12 +30,13 @@ def _reason() -> F.Column:
             .when(F.col("content").isNull(), F.lit(REASON_CONTENT_NULL)))
 
 
-def to_silver(bronze: DataFrame, as_of=None, strict: bool = True) -> DataFrame:
+def to_silver(bronze: DataFrame, as_of=None, strict: bool = True, keep=()) -> DataFrame:
     """Silver rows from bronze rows.
 
     ``strict``: an unreadable user id fails the job (ANSI cast), as a CAST in
     the SQL model does. Otherwise the row is left out here and reported by
-    :func:`split_rejects`.
+    :func:`split_rejects`. ``keep``: bronze columns carried through as they
+    are (e.g. the ingest batch id).
     """
     uid = (F.col("user_id").cast("bigint") if strict
            else F.expr("try_cast(user_id AS BIGINT)"))
@@ -46,23 +47,24 @@ def to_silver(bronze: DataFrame, as_of=None, strict: bool = True) -> DataFrame:
         F.col("content").alias("search_text"),
         F.col("ingested_at"),
         ingest_time(as_of).alias("processed_at"),
+        *keep,
     )
     if not strict:
         out = out.filter(F.col("user_id").isNotNull())
     return out.withColumn("ingested_day", F.to_date("ingested_at"))
 
 
-def rejects(bronze: DataFrame) -> DataFrame:
+def rejects(bronze: DataFrame, keep=()) -> DataFrame:
     """Bronze rows silver leaves out, with the first failed rule as reason."""
     return (bronze.withColumn("reason", _reason())
             .filter(F.col("reason").isNotNull())
-            .select("user_id", "event", "content", "ingested_at", "reason"))
+            .select("user_id", "event", "content", "ingested_at", "reason", *keep))
 
 
-def split_rejects(bronze: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
-    """(silver, rejects) from one input. Both outputs read the same bronze
-    scan; on a cluster write them in one job or persist bronze first."""
-    return to_silver(bronze, as_of, strict=False), rejects(bronze)
+def split_rejects(bronze: DataFrame, as_of=None, keep=()) -> tuple[DataFrame, DataFrame]:
+    """(silver, rejects) from one input, lenient casts. Together they hold
+    every bronze row exactly once."""
+    return to_silver(bronze, as_of, strict=False, keep=keep), rejects(bronze, keep)
 
 
 def publish(df: DataFrame, path: str, partition_by=("ingested_day",),

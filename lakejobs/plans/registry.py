@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.plans import catalog, conformance, lake, telemetry, vectors
+from lakejobs.plans import catalog, conformance, lake, streams, telemetry, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (lake, conformance, telemetry, catalog, vectors):
+for _m in (lake, conformance, telemetry, catalog, vectors, streams):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Fixed value: time stamps in raw JSON keep microseconds (Spark's default
+# JSON layout would cut them to milliseconds).
+JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+JSON_OPTIONS = {"timestampNTZFormat": JSON_TS_FORMAT}
+
+
+def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write records as JSON lines in the raw-zone layout."""
+    df.write.mode(mode).options(**JSON_OPTIONS).json(path)
+
+
 def read_raw(spark: SparkSession, path: str, schema: T.StructType,
              allow_empty: bool = False) -> DataFrame:
     """All JSON under ``path`` (a glob is fine) with a declared schema.
@@ -18,7 +29,7 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType,
     has that column. A missing path fails unless ``allow_empty``; then an empty
     frame of the schema is returned. No stand-in rows are ever made up.
     """
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").options(**JSON_OPTIONS)
     if "_corrupt_record" in schema.fieldNames():
         reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
     try:
