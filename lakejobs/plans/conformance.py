@@ -165,8 +165,8 @@ TEXTS["sql_frame"] = ("""
 SELECT event_id, user_id, ts,
        round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
                               ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS sum_last3,
-       round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id
-                              RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING), 4) AS avg_near,
+       avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id
+                              RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS avg_near_cents,
        count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_so_far
 FROM {events}

@@ -67,7 +67,7 @@ def q_vector_topk(spark, sf_dir):
 def q_vector_topk_approx(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
     index = V.build_ivf(corpus, work_dir(spark, "ivf"))
-    res = V.top_k_approx(spark, index, _label_queries(spark, sf_dir), k=TOPK, nprobe=4)
+    res = V.top_k_approx(spark, index, _label_queries(spark, sf_dir), k=TOPK)
     return res.select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
