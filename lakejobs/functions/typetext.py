@@ -61,5 +61,9 @@ def _text(raw):
 
 @F.pandas_udf(T.StringType())
 def type_text(raw: pd.Series) -> pd.Series:
-    """Raw type (primitive name or JSON object text) -> compact text."""
-    return raw.map(_text)
+    """Raw type (primitive name or JSON object text) -> compact text. Field
+    types repeat across tables, so each distinct text is rendered once per
+    Arrow batch."""
+    codes, uniques = pd.factorize(raw, use_na_sentinel=True)
+    rendered = pd.array([_text(u) for u in uniques] + [None], dtype=object)
+    return pd.Series(rendered[codes], index=raw.index, dtype=object)

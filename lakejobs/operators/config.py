@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakejobs.sources.tables import spread
+
 # Key fragments whose values are never shown, and the mask.
 SENSITIVE_KEY = r"(?i)(password|secret|credential|access-key|apikey|api-key|token)"
 MASK = "••••••••"
@@ -34,7 +36,7 @@ def parse_props(files: DataFrame) -> DataFrame:
     """``(name, key, value)``: lines trimmed, blank and ``#`` lines skipped,
     split at the first ``=``; a line without a key (``=x``) or without ``=``
     is skipped; of repeated keys the last line wins."""
-    lines = files.select("name", F.posexplode(F.split(F.col("content"), "\n")).alias("pos", "raw"))
+    lines = spread(files).select("name", F.posexplode(F.split(F.col("content"), "\n")).alias("pos", "raw"))
     t = F.regexp_replace(F.col("raw"), _WS_TRIM, "")
     kv = (lines.select("name", "pos", t.alias("line"))
           .filter((F.col("line") != "") & ~F.col("line").startswith("#"))

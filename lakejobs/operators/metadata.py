@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.functions.typetext import type_text
 from lakejobs.schemas import TABLE_METADATA
+from lakejobs.sources.tables import spread
 
 NO_OPERATION = "—"  # fixed value: shown when a snapshot names no operation
 
@@ -31,7 +32,7 @@ def read_metadata_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(docs: DataFrame) -> DataFrame:
     """Add ``ns`` (dot-joined namespace) and ``md`` (parsed metadata)."""
-    return docs.select(F.array_join("namespace", ".").alias("ns"), "table",
+    return spread(docs).select(F.array_join("namespace", ".").alias("ns"), "table",
                        F.from_json("doc", TABLE_METADATA)["metadata"].alias("md"))
 
 
@@ -60,12 +61,22 @@ def with_current_fields(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("fields", F.coalesce(_current_schema()["fields"], F.array()))
 
 
+def _explode(df: DataFrame, keep, arr, names, pos: bool = False) -> DataFrame:
+    """Inner explode written as outer explode + null filter. An inner
+    generator makes the optimiser add ``size(arr) > 0`` and push it below any
+    exchange, which would parse every document twice (once in the scan task);
+    the outer form keeps one parse."""
+    gen = F.posexplode_outer(arr) if pos else F.explode_outer(arr)
+    out = df.select(*keep, gen.alias(*names))
+    return out.filter(F.col(names[-1]).isNotNull())
+
+
 def current_fields(parsed: DataFrame) -> DataFrame:
     """Fields of the current schema: by id, else the first schema, else the
     legacy single schema (TBL-3); type as text (TBL-4); required defaults to
     false and a missing doc to null (TBL-5)."""
-    f = with_current_fields(parsed).select(F.col("ns").alias("namespace"), "table",
-                                           F.posexplode("fields").alias("pos", "f"))
+    f = _explode(with_current_fields(parsed), [F.col("ns").alias("namespace"), "table"],
+                 F.col("fields"), ("pos", "f"), pos=True)
     return f.select("namespace", "table", "pos", F.col("f.id").alias("id"), F.col("f.name").alias("name"),
                     type_text(F.col("f.type")).alias("type"),
                     F.coalesce(F.col("f.required"), F.lit(False)).alias("required"),
@@ -87,9 +98,8 @@ def partition_fields(parsed: DataFrame) -> DataFrame:
         return F.struct(pf["name"].alias("name"), pf["transform"].alias("transform"),
                         F.coalesce(F.nullif(hit, F.lit("")),
                                    F.concat(F.lit("#"), pf["source-id"].cast("string"))).alias("source_column"))
-    rows = with_current_fields(parsed).select(
-        F.col("ns").alias("namespace"), "table",
-        F.explode(F.transform(F.coalesce(spec["fields"], F.array()), resolve)).alias("p"))
+    rows = _explode(with_current_fields(parsed), [F.col("ns").alias("namespace"), "table"],
+                    F.transform(F.coalesce(spec["fields"], F.array()), resolve), ("p",))
     return rows.select("namespace", "table", "p.*")
 
 
@@ -97,9 +107,8 @@ def snapshots(parsed: DataFrame) -> DataFrame:
     """Snapshot history newest first (TBL-7): ids as text, operation ``—``
     when missing; current one flagged and rows added per snapshot (TBL-8)."""
     md = F.col("md")
-    rows = parsed.select(F.col("ns").alias("namespace"), "table",
-                         md["current-snapshot-id"].alias("cur"),
-                         F.explode(md["snapshots"]).alias("s"))
+    rows = _explode(parsed, [F.col("ns").alias("namespace"), "table", md["current-snapshot-id"].alias("cur")],
+                    md["snapshots"], ("s",))
     s = F.col("s")
     out = rows.select(
         "namespace", "table",
@@ -130,8 +139,8 @@ def table_metrics(parsed: DataFrame) -> DataFrame:
 
 def properties(parsed: DataFrame) -> DataFrame:
     """Table properties as key/value rows (TBL-10)."""
-    return parsed.select(F.col("ns").alias("namespace"), "table",
-                         F.explode(F.col("md")["properties"]).alias("key", "value"))
+    return _explode(parsed, [F.col("ns").alias("namespace"), "table"],
+                    F.col("md")["properties"], ("key", "value"))
 
 
 def identity(parsed: DataFrame) -> DataFrame:

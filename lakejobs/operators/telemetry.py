@@ -75,8 +75,8 @@ def service_status(pods: DataFrame, services: DataFrame) -> DataFrame:
     per_pod = with_service(pods, services).select(
         "service", status_rank(pod_health()).alias("rank"))
     best = per_pod.groupBy("service").agg(F.max("rank").alias("rank"))
-    svc, _ = bounded_broadcast(services.select("service"), 10_000)
-    return (best.join(svc, "service", "right")
+    # ``best`` has at most one row per service, a set already checked to be small.
+    return (services.select("service").join(F.broadcast(best), "service", "left")
             .select("service", rank_status(F.col("rank")).alias("status")))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lakejobs.session import shared_root
+from lakejobs.sources.tables import spread
 
 # ------------------------------------------------------------------ VEC-1
 
@@ -56,6 +57,7 @@ def embed(df: DataFrame, col: str = "text", dim: int = DEFAULT_DIM, encoder=None
     model download. ``encoder`` (a function list[str] -> 2-d array) plugs in
     a real model through ``mapInPandas``, in Arrow batches.
     """
+    df = spread(df)
     if encoder is not None:
         return _embed_with(df, col, encoder, dim, out)
     pipe = Pipeline(stages=[
@@ -117,12 +119,19 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str,
                 .unionByName(upd.withColumn("_src", F.lit(1))))
     else:
         both = upd.withColumn("_src", F.lit(1))
-    payload = [c for c in cols if c != key] + ["bucket"]
-    merged = (both.groupBy(key)
+    payload = [c for c in cols if c != key]
+    # One shuffle, on the bucket: the per-key merge reuses it and every bucket
+    # is then written by one task (one file per bucket, no small-file spray).
+    # Keys are unique per side, so buckets are even; size ``buckets`` so one
+    # bucket stays a comfortable task (about 1 GB).
+    n_parts = max(1, min(buckets, spark.sparkContext.defaultParallelism * 4))
+    merged = (both.repartition(n_parts, "bucket")
+              .groupBy("bucket", key)
               .agg(F.max_by(F.struct(*payload), F.struct(F.col(version), F.col("_src"))).alias("r"))
-              .select(key, "r.*"))
-    shared_root(spark)
-    merged = merged.checkpoint(eager=True)
+              .select(key, "r.*", "bucket"))
+    if exists:
+        shared_root(spark)
+        merged = merged.checkpoint(eager=True)
     (merged.select(*cols, "bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
@@ -222,7 +231,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     parts = []
     for qids, qv in _query_blocks(queries, dim, qid_col, vec_col):
         kern = _kernel(qv, qids, k, id_col, vec_col, metric)
-        parts.append(corpus.select(id_col, vec_col).mapInPandas(kern, out_schema))
+        parts.append(spread(corpus.select(id_col, vec_col)).mapInPandas(kern, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema + ", rank int")
     cands = parts[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakejobs.operators import config as C
 from lakejobs.operators import metadata as M
 from lakejobs.plans.derived import duck_text, spark_input
+from lakejobs.sources.tables import spread
 
 # ------------------------------------------------------------------ config
 
@@ -99,7 +100,7 @@ NESTED_TEXT = ("list<string>", "map<string, long>", "struct<k:string, v:list<int
 def metadata_docs(spark, sf_dir):
     """``(namespace, table, doc)``: one metadata JSON document per table.
     Absent keys are left out of the JSON (null fields are not written)."""
-    r = spark_input(spark, sf_dir, TABLE_ROWS)
+    r = spread(spark_input(spark, sf_dir, TABLE_ROWS))
     k, s = F.col("k"), F.col("s")
     field = lambda i, n, typ, req=None, doc=None: F.struct(
         F.lit(i).cast("long").alias("id"), F.lit(n).alias("name"),
