@@ -14,8 +14,8 @@ from lakejobs.schemas import RAW_USER_EVENT
 from lakejobs.session import pin_conf, work_dir
 from lakejobs.sources.raw import write_raw
 from lakejobs.sources.external import read_external, write_external
-from lakejobs.sources.tables import (drop_table, ensure_namespace, read_table,
-                                     seed_if_empty)
+from lakejobs.sources.tables import (append_table, drop_table, ensure_namespace,
+                                     read_table, seed_if_empty)
 from lakejobs.streaming.ingest import ingest_incremental
 from lakejobs.streaming.logs import follow, run_rate
 
@@ -116,6 +116,20 @@ def q_seed_once(spark, sf_dir):
         GROUP BY e.event_type""")
 
 
+def q_append_bronze(spark, sf_dir):
+    """Events appended in two writes to a catalogue table that the first
+    write creates, partitioned by type (ING-4, ING-5)."""
+    base = work_dir(spark, "append")
+    ns = "lj_" + base.rsplit("-", 1)[-1]
+    ensure_namespace(spark, ns, location=base)
+    ev = read_table(spark, sf_dir, "events")
+    cut = F.col("ts") < F.lit(SPLIT_AT).cast("timestamp_ntz")
+    append_table(ev.filter(cut), f"{ns}.events", ("event_type",))
+    append_table(ev.filter(~cut), f"{ns}.events", ("event_type",))
+    return (spark.table(f"{ns}.events").groupBy("event_type")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")))
+
+
 FORMATS = ("orc", "csv", "json")
 
 
@@ -142,6 +156,7 @@ QUERIES = {
     "pipeline_run": q_pipeline_run,
     "seed_once": q_seed_once,
     "external_files": q_external_files,
+    "append_bronze": q_append_bronze,
     "ingest_replay": q_ingest_replay,
     "obs_follow": q_obs_follow,
     "obs_rate": q_obs_rate,
@@ -164,6 +179,8 @@ GROUP BY e.event_type""",
     "external_files": " UNION ALL ".join(f"""
 SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last_date,
        '{fmt}' AS fmt FROM orders GROUP BY o_orderstatus""" for fmt in FORMATS),
+    "append_bronze": """
+SELECT event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY event_type""",
     "ingest_replay": f"""
 SELECT event, count(*) AS n, count(content) AS n_content FROM ({duck_text(RAW_USER_EVENTS)}) r GROUP BY event""",
     "obs_follow": f"""

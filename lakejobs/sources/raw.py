@@ -38,7 +38,7 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType,
             df.schema  # force path resolution here
         return df
     except AnalysisException as e:
-        if allow_empty and "PATH_NOT_FOUND" in (e.getErrorClass() or str(e)):
+        if allow_empty and "PATH_NOT_FOUND" in (e.getCondition() or str(e)):
             return spark.createDataFrame([], schema)
         raise
 
