@@ -20,8 +20,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     returned untouched (no extra shuffle at scale). Counting splits plans the
     scan but runs nothing.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave as is
         return df
     return df.repartition(target)
 
