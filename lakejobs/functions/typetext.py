@@ -8,11 +8,17 @@ goes through a vectorised pandas UDF. Work per value is the size of the type.
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's code with the UDF, so executors need only pandas (not
+# this package on their path).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MISSING = object()
 
 

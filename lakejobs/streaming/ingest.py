@@ -17,10 +17,17 @@ from lakejobs.sources.raw import JSON_OPTIONS, stamp_ingest
 
 
 def write_batch(df: DataFrame, batch_id: int, table_path: str, partition_by=()) -> None:
-    """Idempotent write of one micro-batch."""
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", *partition_by).parquet(table_path))
+    """Idempotent write of one micro-batch. The batch is computed once
+    (persisted), and a batch with no rows writes nothing."""
+    df = df.persist()
+    try:
+        if df.isEmpty():
+            return
+        (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", *partition_by).parquet(table_path))
+    finally:
+        df.unpersist()
 
 
 def ingest_incremental(spark: SparkSession, raw_path: str, schema: T.StructType, table_path: str,
