@@ -250,6 +250,24 @@ def centroids(df: DataFrame, by: str, vec_col: str = "embedding") -> DataFrame:
 
 # ------------------------------------------------------------------ VEC-5
 
+# Default cell count is sqrt(corpus size) up to this many cells; the centres
+# (cells x dim doubles) are what a search keeps on the driver.
+MAX_DEFAULT_CELLS = 16_384
+PROBE_CHUNK = 1024  # queries per chunk when choosing cells (chunk x cells distances)
+
+
+def _nearest_cells(qv: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
+    """Indices of the ``nprobe`` nearest centres per query, in query chunks so
+    the distance matrix stays small."""
+    c2 = (centers * centers).sum(axis=1)
+    out = []
+    for i in range(0, len(qv), PROBE_CHUNK):
+        q = qv[i:i + PROBE_CHUNK]
+        d = c2[None, :] - 2.0 * (q @ centers.T)          # + |q|^2, same for every cell
+        out.append(np.argsort(d, axis=1)[:, :nprobe])
+    return np.concatenate(out) if out else np.empty((0, nprobe), dtype=np.int64)
+
+
 def build_ivf(corpus: DataFrame, path: str, n_cells: int | None = None, seed: int = 7,
               id_col: str = "vec_id", vec_col: str = "embedding", max_iter: int = 20) -> dict:
     """Coarse index for approximate search: k-means cells over the corpus
@@ -257,7 +275,7 @@ def build_ivf(corpus: DataFrame, path: str, n_cells: int | None = None, seed: in
     a search reads only the cells it probes (partition pruning). Returns the
     index description: cell centres (n_cells x dim, small) and the path."""
     n = corpus.count()
-    cells = n_cells or max(2, int(math.sqrt(n)))
+    cells = n_cells or max(2, min(MAX_DEFAULT_CELLS, int(math.sqrt(n))))
     feats = corpus.select(id_col, vec_col).withColumn("_f", array_to_vector(vec_col))
     km = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
     (km.transform(feats).select(id_col, vec_col, "cell")
@@ -278,8 +296,7 @@ def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, k: int =
     out_schema = f"qid long, {id_col} long, score double"
     parts = []
     for qids, qv in _query_blocks(queries, dim, qid_col, vec_col):
-        d = ((qv[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-        order = np.argsort(d, axis=1)[:, :nprobe]
+        order = _nearest_cells(qv, centers, nprobe)
         probes = {int(q): order[i] for i, q in enumerate(qids)}
         wanted = sorted({int(c) for row in order for c in row})
         scan = spark.read.parquet(index["path"]).filter(F.col("cell").isin(wanted))

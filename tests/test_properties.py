@@ -92,3 +92,45 @@ def test_streaming_rate_equals_batch_on_closed_windows(spark, sf_dir):
              .collect())
     want = {(r.w, r.level): r["count"] for r in batch if r.w + dt.timedelta(hours=2) <= mx}
     assert got == want
+
+
+def test_problems_first_and_newest_first_order(spark, sf_dir):
+    rows = O.problems_first(O.pod_readiness(telemetry.pods(spark, sf_dir))).collect()
+    keys = [(r.all_ready, r.name) for r in rows]
+    assert keys == sorted(keys)
+    ev = O.newest_first(O.normalise_events(telemetry.cluster_events(spark, sf_dir))).collect()
+    stamps = [r.last_seen for r in ev]
+    seen = [s for s in stamps if s is not None]
+    assert seen == sorted(seen, reverse=True) and stamps[:len(seen)] == seen
+
+
+def test_run_sql_rejects_empty_and_keeps_dataframe(spark, sf_dir):
+    import pytest
+    from lakejobs.operators.sql import columns, run_sql
+    with pytest.raises(ValueError):
+        run_sql(spark, "  ")
+    df = run_sql(spark, "SELECT n_name FROM {nation} WHERE n_regionkey = 1;",
+                 nation=read_table(spark, sf_dir, "nation"))
+    assert columns(df) == [{"name": "n_name", "type": "string"}]
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    from lakejobs.plans import conformance
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        df = conformance.QUERIES["sql_filter"](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PushedFilters: [IsNotNull(l_quantity)" in plan
+    assert "GreaterThanOrEqual(l_discount,0.05)" in plan
+    read_schema = [l for l in plan.splitlines() if "ReadSchema" in l][0]
+    assert "l_tax" not in read_schema and "l_partkey" not in read_schema
+
+
+def test_ivf_probe_chunks_match_direct():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(2500, 8)), rng.normal(size=(40, 8))
+    direct = np.argsort(((q[:, None, :] - c[None]) ** 2).sum(axis=2), axis=1)[:, :3]
+    assert (V._nearest_cells(q, c, 3) == direct).all()
