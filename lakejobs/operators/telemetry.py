@@ -211,6 +211,21 @@ def tail(logs: DataFrame, n=None, by=("pod", "container")) -> DataFrame:
     return logs.withColumn("rn", w).filter(F.col("rn") <= k).drop("rn")
 
 
+# Fixed value: lines an agent asks for by default.
+AGENT_TAIL_DEFAULT = 100
+
+
+def platform_status(pods: DataFrame) -> DataFrame:
+    """Name, raw phase and start time of every pod (agent status tool)."""
+    return pods.select("name", "phase", F.col("start_ts").alias("start_time"))
+
+
+def service_logs(logs: DataFrame, fragment: str, lines=AGENT_TAIL_DEFAULT) -> DataFrame:
+    """Last ``lines`` lines of every pod whose name contains ``fragment``
+    (agent log tool; there the first matching pod only, here all of them)."""
+    return tail(logs.filter(F.col("pod").contains(fragment)), lines, by=("pod",))
+
+
 def grep(logs: DataFrame, text: str | None, col: str = "line") -> DataFrame:
     """Case-insensitive substring search; empty text keeps every line (OBS-19)."""
     if not text:

@@ -220,6 +220,17 @@ def q_obs_export(spark, sf_dir):
     return O.read_export(spark, path)
 
 
+def q_obs_platform_status(spark, sf_dir):
+    return O.platform_status(pods(spark, sf_dir))
+
+
+AGENT_FRAGMENT = "0001"
+
+
+def q_obs_service_logs(spark, sf_dir):
+    return O.service_logs(log_lines(spark, sf_dir), AGENT_FRAGMENT)
+
+
 # ---------------------------------------------------------------- oracles
 
 _PODS = duck_text(PODS_FLAT)
@@ -321,6 +332,13 @@ SELECT pod, container, ts, line_no, line FROM (
   SELECT *, row_number() OVER (PARTITION BY pod, container ORDER BY ts DESC, line_no DESC) AS rn
   FROM ({_LOGS}) l) t
 WHERE rn <= {int(TAIL_N)}""",
+    "obs_platform_status": f"""{_WITH_PODS}
+SELECT name, phase, CAST(start_ts AS TIMESTAMP) AS start_time FROM pf""",
+    "obs_service_logs": f"""
+SELECT pod, container, ts, line_no, line FROM (
+  SELECT *, row_number() OVER (PARTITION BY pod ORDER BY ts DESC, line_no DESC) AS rn
+  FROM ({_LOGS}) l WHERE contains(pod, '{AGENT_FRAGMENT}')) t
+WHERE rn <= {O.AGENT_TAIL_DEFAULT}""",
     "obs_grep": f"""
 SELECT * FROM ({_LOGS}) l WHERE contains(lower(line), lower('{GREP_TEXT}'))""",
     "obs_export": f"""
@@ -341,5 +359,7 @@ QUERIES = {
     "obs_events_for": q_obs_events_for,
     "obs_tail": q_obs_tail,
     "obs_grep": q_obs_grep,
+    "obs_platform_status": q_obs_platform_status,
+    "obs_service_logs": q_obs_service_logs,
     "obs_export": q_obs_export,
 }
