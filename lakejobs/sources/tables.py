@@ -15,10 +15,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A table held in one small file with one row group is read by a single
     task, and everything up to the first shuffle stays on that task. When the
-    scan yields fewer splits than the session has cores, rows are dealt out
-    round-robin; a large table already has more splits than cores and is
-    returned untouched (no extra shuffle at scale). Counting splits plans the
-    scan but runs nothing.
+    scan yields fewer splits than the session has cores, rows are hashed on
+    their row id over all cores: no sort (unlike round-robin) and no column
+    reference, so column pruning still reaches the scan. A large table already
+    has more splits than cores and is returned untouched (no extra shuffle at
+    scale). Counting splits plans the scan but runs nothing.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
@@ -26,7 +27,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
             return df
     except Exception:  # no RDD view (e.g. a remote session): leave as is
         return df
-    return df.repartition(target)
+    return df.repartition(target, F.monotonically_increasing_id())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
