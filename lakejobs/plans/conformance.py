@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakejobs.operators.sql import preview, row_count, run_sql
-from lakejobs.plans.derived import duck_text, spark_input, tables_in
+from lakejobs.plans.derived import duck_text, tables_in
 from lakejobs.sources.tables import TABLES, read_table, table_counts
 
 TEXTS: dict[str, tuple[str, str | None]] = {}

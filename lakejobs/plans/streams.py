@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakejobs.operators import silver as S
 from lakejobs.plans.derived import AS_OF, RAW_USER_EVENTS, duck_text, spark_input
 from lakejobs.plans.lake import _SILVER
 from lakejobs.plans.pipeline import layer_counts, run_pipeline

@@ -12,10 +12,6 @@ from lakejobs.session import work_dir
 
 CONTAINER_NAMES = ("app", "sidecar", "proxy")
 
-_SVC_CASE = "CASE c_nationkey % 8 " + " ".join(
-    f"WHEN {i} THEN '{{}}'" for i in range(7)) + " END"
-
-
 def _svc(col):
     vals = [s[1] if col == "label" else s[2] for s in O.SERVICE_SELECTORS]
     return "CASE c_nationkey % 8 " + " ".join(
