@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -202,20 +203,33 @@ def _merge(cands: DataFrame, k: int, id_col: str) -> DataFrame:
             .filter(F.col("rank") <= k))
 
 
+def _as_arrays(rows):
+    return (np.array([r[0] for r in rows], dtype=np.int64),
+            np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
+
+
 def _query_blocks(queries: DataFrame, dim: int, qid_col: str, vec_col: str):
-    """Split the query set into blocks small enough to broadcast. The count is
-    one aggregate; each block is fetched on its own, never the whole set."""
-    n = queries.count()
+    """Split the query set into blocks small enough to ship to every task.
+
+    One bounded fetch (``limit(per_block + 1)``) answers the common case of a
+    set that fits one block. A larger set is first checkpointed to the shared
+    folder (so an aggregate that produced it runs once), then fetched block by
+    block by a hash of the query id; the whole set never reaches the driver.
+    """
     per_block = max(1, MAX_QUERY_VALUES // max(dim, 1))
-    nblocks = max(1, math.ceil(n / per_block))
+    q = queries.select(qid_col, vec_col)
+    first = q.limit(per_block + 1).collect()
+    if len(first) <= per_block:
+        if first:
+            yield _as_arrays(first)
+        return
+    shared_root(q.sparkSession)
+    q = q.checkpoint(eager=True)
+    nblocks = max(2, math.ceil(q.count() / per_block))
     for b in range(nblocks):
-        part = queries if nblocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nblocks)) == b)
-        rows = part.select(qid_col, vec_col).collect()
-        if not rows:
-            continue
-        yield (np.array([r[0] for r in rows], dtype=np.int64),
-               np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
+        rows = q.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nblocks)) == b).collect()
+        if rows:
+            yield _as_arrays(rows)
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
@@ -276,10 +290,14 @@ def build_ivf(corpus: DataFrame, path: str, n_cells: int | None = None, seed: in
     index description: cell centres (n_cells x dim, small) and the path."""
     n = corpus.count()
     cells = n_cells or max(2, min(MAX_DEFAULT_CELLS, int(math.sqrt(n))))
-    feats = corpus.select(id_col, vec_col).withColumn("_f", array_to_vector(vec_col))
-    km = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
-    (km.transform(feats).select(id_col, vec_col, "cell")
-     .write.mode("overwrite").partitionBy("cell").parquet(path))
+    feats = (spread(corpus.select(id_col, vec_col)).withColumn("_f", array_to_vector(vec_col))
+             .persist(StorageLevel.MEMORY_AND_DISK))       # k-means passes over it many times
+    try:
+        km = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
+        (km.transform(feats).select(id_col, vec_col, "cell")
+         .write.mode("overwrite").partitionBy("cell").parquet(path))
+    finally:
+        feats.unpersist()
     return {"path": path, "centers": np.array(km.clusterCenters())}
 
 

@@ -134,3 +134,12 @@ def test_ivf_probe_chunks_match_direct():
     q, c = rng.normal(size=(2500, 8)), rng.normal(size=(40, 8))
     direct = np.argsort(((q[:, None, :] - c[None]) ** 2).sum(axis=2), axis=1)[:, :3]
     assert (V._nearest_cells(q, c, 3) == direct).all()
+
+
+def test_topk_query_blocks_split_and_agree(spark, sf_dir, monkeypatch):
+    corpus = read_table(spark, sf_dir, "embeddings")
+    q = corpus.select(F.col("vec_id").alias("qid"), "embedding").filter("vec_id < 40")
+    whole = sorted(tuple(r) for r in V.top_k(corpus, q, k=3).select("qid", "vec_id", "rank").collect())
+    monkeypatch.setattr(V, "MAX_QUERY_VALUES", 64 * 7)   # 7 queries per block -> several blocks
+    blocks = sorted(tuple(r) for r in V.top_k(corpus, q, k=3).select("qid", "vec_id", "rank").collect())
+    assert whole == blocks and len(whole) == 40 * 3
