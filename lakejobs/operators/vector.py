@@ -145,17 +145,22 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str,
 MAX_QUERY_VALUES = 4_000_000
 
 
-def _kernel(queries: np.ndarray, qids: np.ndarray, k: int, id_col: str, vec_col: str,
-            metric: str, cell_col: str | None = None, probes: dict | None = None):
-    """Partition-local top-k: scores every row of the partition against the
-    query block and keeps, per query, the rows scoring at least the k-th best
-    (ties kept, so the merge is exact)."""
+def _ship(spark: SparkSession, queries: np.ndarray, qids: np.ndarray, metric: str, probes=None):
+    """Broadcast one query block (normalised for cosine) to the executors."""
     q = queries.astype(np.float64)
     if metric == "cosine":
         qn = np.linalg.norm(q, axis=1, keepdims=True)
         q = q / np.where(qn > 0, qn, 1.0)
+    return spark.sparkContext.broadcast((qids, q, probes))
+
+
+def _kernel(block, k: int, id_col: str, vec_col: str, metric: str, cell_col: str | None = None):
+    """Partition-local top-k: scores every row of the partition against the
+    broadcast query block and keeps, per query, the rows scoring at least the
+    k-th best (ties kept, so the merge is exact)."""
 
     def run(batches):
+        qids, q, probes = block.value
         best_ids = [np.empty(0, dtype=np.int64) for _ in range(len(qids))]
         best_sc = [np.empty(0, dtype=np.float64) for _ in range(len(qids))]
         for pdf in batches:
@@ -245,7 +250,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     out_schema = f"qid long, {id_col} long, score double"
     parts = []
     for qids, qv in _query_blocks(queries, dim, qid_col, vec_col):
-        kern = _kernel(qv, qids, k, id_col, vec_col, metric)
+        kern = _kernel(_ship(spark, qv, qids, metric), k, id_col, vec_col, metric)
         parts.append(spread(corpus.select(id_col, vec_col)).mapInPandas(kern, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema + ", rank int")
@@ -318,7 +323,7 @@ def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, k: int =
         probes = {int(q): order[i] for i, q in enumerate(qids)}
         wanted = sorted({int(c) for row in order for c in row})
         scan = spark.read.parquet(index["path"]).filter(F.col("cell").isin(wanted))
-        kern = _kernel(qv, qids, k, id_col, vec_col, metric, cell_col="cell", probes=probes)
+        kern = _kernel(_ship(spark, qv, qids, metric, probes), k, id_col, vec_col, metric, cell_col="cell")
         parts.append(scan.select(id_col, vec_col, "cell").mapInPandas(kern, out_schema))
     cands = parts[0]
     for p in parts[1:]:
