@@ -143,3 +143,32 @@ def test_topk_query_blocks_split_and_agree(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(V, "MAX_QUERY_VALUES", 64 * 7)   # 7 queries per block -> several blocks
     blocks = sorted(tuple(r) for r in V.top_k(corpus, q, k=3).select("qid", "vec_id", "rank").collect())
     assert whole == blocks and len(whole) == 40 * 3
+
+
+def test_follow_keeps_running_until_stopped(spark, sf_dir):
+    from lakejobs.plans import streams
+    from lakejobs.streaming.logs import follow
+    base = work_dir(spark, "t-follow")
+    logs = telemetry.log_lines(spark, sf_dir)
+    streams._drop(logs, "ts", f"{base}/in/drop=1", True)
+    q = follow(spark, f"{base}/in/*", f"{base}/ck", f"{base}/out", "error", until_done=False)
+    try:
+        q.processAllAvailable()
+        streams._drop(logs, "ts", f"{base}/in/drop=2", False)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(f"{base}/out").count()
+    assert got == O.grep(logs, "error").count()
+
+
+def test_embed_with_encoder_plugin(spark, sf_dir):
+    import numpy as np
+
+    def encoder(texts):
+        return np.array([[len(t), t.count(" "), 1.0] for t in texts])
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = V.embed(docs, "text", encoder=encoder).select("doc_id", "embedding").collect()
+    assert len(out) == docs.count()
+    assert all(abs(sum(x * x for x in r.embedding) - 1.0) < 1e-5 for r in out)
