@@ -107,6 +107,8 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str,
     Applying the same updates twice leaves the table as applying them once.
     """
     cols = [c for c in updates.columns if c != "bucket"]
+    # Read twice: for the touched buckets (only the key is computed there,
+    # column pruning drops the payload, e.g. the embedding) and for the merge.
     upd = updates.select(*cols).withColumn("bucket", _bucket(key, buckets))
     try:
         existing = spark.read.parquet(path)
