@@ -98,15 +98,16 @@ def all_statuses(pods: DataFrame, services: DataFrame, composites: DataFrame) ->
 
 
 def health_summary(status: DataFrame, usage: DataFrame | None = None) -> DataFrame:
-    """Healthy count and total (OBS-14); metrics availability (OBS-6)."""
-    out = status.agg(F.count_if(F.col("status") == HEALTHY).alias("n_healthy"),
-                     F.count(F.lit(1)).alias("n_services"))
-    if usage is not None:
-        # Both sides are single rows; joined on a constant key.
-        avail = usage.limit(1).agg((F.count(F.lit(1)) > 0).alias("metrics_available"))
-        out = (out.withColumn("_k", F.lit(1))
-               .join(avail.withColumn("_k", F.lit(1)), "_k").drop("_k"))
-    return out
+    """Healthy count and total (OBS-14); metrics availability (OBS-6), a
+    scalar subquery that stops at the first usage row."""
+    spark = status.sparkSession
+    if usage is None:
+        return spark.sql("SELECT count_if(status = 'Healthy') AS n_healthy, count(*) AS n_services "
+                         "FROM {status}", status=status)
+    return spark.sql(
+        "SELECT count_if(status = 'Healthy') AS n_healthy, count(*) AS n_services, "
+        "(SELECT count(*) > 0 FROM (SELECT 1 FROM {usage} LIMIT 1)) AS metrics_available "
+        "FROM {status}", status=status, usage=usage)
 
 
 # ---------------------------------------------------------------- pods
