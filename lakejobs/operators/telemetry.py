@@ -84,7 +84,8 @@ def composite_status(status: DataFrame, composites: DataFrame) -> DataFrame:
     """Status of services made of others (OBS-13): all parts Healthy ->
     Healthy; any part Pending -> Pending; else Offline. A missing part counts
     as not Healthy and not Pending."""
-    j = composites.join(status.withColumnRenamed("service", "depends_on"), "depends_on", "left")
+    # ``status`` has one row per service (a set checked to be small).
+    j = composites.join(F.broadcast(status.withColumnRenamed("service", "depends_on")), "depends_on", "left")
     return (j.groupBy("service")
             .agg(F.bool_and(F.coalesce(F.col("status") == HEALTHY, F.lit(False))).alias("all_h"),
                  F.bool_or(F.coalesce(F.col("status") == PENDING, F.lit(False))).alias("any_p"))
