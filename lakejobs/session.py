@@ -30,6 +30,25 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (about 100 TB, ~1000 executors), added to
+# BASE_CONF at submit time. Shuffles start wide and AQE coalesces them to
+# ~256 MB; skewed partitions are split; scans read 256 MB splits; automatic
+# broadcast stays at 64 MB of estimated size; streaming state lives in RocksDB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "lakejobs", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, submit with the same ``BASE_CONF``
