@@ -12,6 +12,8 @@ import duckdb
 
 from lakejobs.sources.tables import TABLES
 
+EXACT = False  # True: floats must be bit-identical
+
 
 def duck(sf_dir: str):
     con = duckdb.connect()
@@ -26,7 +28,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return float(f"{v:.12g}")
+        return float(f"{v:.12g}") if EXACT is False else v
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, dt.datetime):
