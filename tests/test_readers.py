@@ -74,6 +74,10 @@ def test_read_metadata_files(spark):
         "snapshots": [{"snapshot-id": 5, "timestamp-ms": 3, "summary": {}}]}}))
     p = M.parse(M.read_metadata_files(spark, d))
     assert {r.namespace for r in M.namespaces(p).collect()} == {"demo", "lake.bronze"}
+    assert [r.table for r in M.tables(p, "demo").collect()] == ["events", "users"]
+    ident = {r.table: (r.format_version, r.current_snapshot_id) for r in M.identity(p).collect()}
+    assert ident["events"] == (2, "9007199254740993") and ident["users"] == (None, None)
+    assert {(r.key, r.value) for r in M.properties(p).collect()} == {("owner", "ada")}
     f = {(r.table, r.name): (r.type, r.required) for r in M.current_fields(p).collect()}
     assert f[("events", "tags")] == ("list<struct<k:string, v:int>>", False)
     assert f[("events", "id")] == ("long", True)
