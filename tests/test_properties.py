@@ -65,8 +65,10 @@ def test_approx_recall(spark, sf_dir):
 def test_topk_all_metrics_agree_on_unit_vectors(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
     q = V.centroids(corpus, "label")
-    cos = V.top_k(corpus, q, k=5, metric="cosine").select("qid", "vec_id").collect()
-    assert len(cos) == 5 * q.count()
+    got = {m: sorted(tuple(r) for r in V.top_k(corpus, q, k=5, metric=m).select("qid", "vec_id", "rank").collect())
+           for m in ("cosine", "dot", "l2")}
+    assert len(got["cosine"]) == 5 * q.count()
+    assert got["cosine"] == got["dot"] == got["l2"]
 
 
 def test_tail_is_cut_per_task_before_shuffle(spark, sf_dir):
