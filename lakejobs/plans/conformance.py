@@ -9,7 +9,9 @@ where the two engines disagree (window ranks, extract, length, floor).
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lakejobs.operators import ordering as O
 from lakejobs.operators.sql import preview, row_count, run_sql
 from lakejobs.plans.derived import duck_text, tables_in
 from lakejobs.sources.tables import TABLES, read_table, table_counts
@@ -361,6 +363,57 @@ def q_sql_pivot(spark, sf_dir):
             .fillna(0, list(PIVOT_TYPES)))
 
 
+def q_sql_rank(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
+    """``sql_rank`` with hot market segments split off. Segments up to
+    ``hot_rows`` rows use the windows; a larger one (five segments share the
+    table, so at scale every one is) is never held by one task: two global
+    sorts give row number and quartile, rank and dense rank come from the
+    (segment, nation) counts. The oracle is the window text itself."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    seg = ["c_mktsegment"]
+    cold, hot = O.split_hot(c, seg, hot_rows)
+    w = Window.partitionBy(*seg)
+    parts = [cold.select("*",
+                         F.row_number().over(w.orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("rn"),
+                         F.rank().over(w.orderBy("c_nationkey")).alias("rk"),
+                         F.dense_rank().over(w.orderBy("c_nationkey")).alias("drk"),
+                         F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).alias("quartile"))]
+    if hot is not None:
+        t = O.row_number(hot, seg, [F.col("c_acctbal").desc(), "c_custkey"], "rn")
+        t = O.ntile(t, 4, seg, ["c_acctbal", "c_custkey"], "quartile")
+        parts.append(O.rank_and_dense(t, seg, ["c_nationkey"], "rk", "drk"))
+    cols = ["c_custkey", "c_mktsegment", "c_acctbal",
+            *[F.col(n).cast("int").alias(n) for n in ("rn", "rk", "drk", "quartile")]]
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
+def q_sql_lag(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
+    """``sql_lag`` with hot customers split off. Customers up to ``hot_rows``
+    orders use the windows; the orders of a larger one are spread over many
+    tasks by one global sort: lag and lead are joins on position, first and
+    last value a partial aggregate per customer."""
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    by = ["o_custkey"]
+    cols = ["o_custkey", "o_orderkey", "o_orderdate", "prev_total", "next2_key", "first_key", "last_key"]
+    cold, hot = O.split_hot(o, by, hot_rows)
+    w = Window.partitionBy(*by).orderBy("o_orderdate", "o_orderkey")
+    out = cold.select("*", F.lag("o_totalprice").over(w).alias("prev_total"),
+                      F.lead("o_orderkey", 2).over(w).alias("next2_key"),
+                      F.first("o_orderkey").over(w).alias("first_key"),
+                      F.last("o_orderkey").over(w.rowsBetween(Window.unboundedPreceding,
+                                                              Window.unboundedFollowing)).alias("last_key")
+                      ).select(*cols)
+    if hot is not None:
+        t = O.positions(hot, [*by, "o_orderdate", "o_orderkey"])
+        t = O.neighbours(t, by, {"prev_total": ("o_totalprice", -1), "next2_key": ("o_orderkey", 2)})
+        t = O.first_last(t, by, "o_orderkey", "first_key", "last_key")
+        out = out.unionByName(t.select(*cols))
+    return out
+
+
 def q_sql_preview(spark, sf_dir):
     return preview(spark, read_table(spark, sf_dir, "nation"))
 
@@ -375,6 +428,8 @@ def q_sql_count_df(spark, sf_dir):
 
 QUERIES = {n: _text_query(n) for n in TEXTS}
 QUERIES["sql_pivot"] = q_sql_pivot
+QUERIES["sql_rank"] = q_sql_rank
+QUERIES["sql_lag"] = q_sql_lag
 QUERIES["sql_preview"] = q_sql_preview
 QUERIES["sql_count_orders"] = q_sql_count_df
 QUERIES["load_tables"] = q_load_tables
