@@ -154,7 +154,11 @@ RUN_BLOCK = 1 << 16   # rows of the global order summed per block
 
 
 def _running_sum(t: DataFrame, col: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``col`` over the position order.
+    return _running_sums(t, {col: name})
+
+
+def _running_sums(t: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Inclusive running sums ``{column: out_name}`` over the position order.
 
     The order is cut into blocks of ``RUN_BLOCK`` consecutive positions; each
     block is summed as a window over that block only (bounded size), and the
@@ -162,13 +166,45 @@ def _running_sum(t: DataFrame, col: str, name: str) -> DataFrame:
     blk = F.floor((F.col(POS) - 1) / RUN_BLOCK).cast("long")
     t = t.withColumn("_blk", blk)
     inside = Window.partitionBy("_blk").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_in", F.sum(col).over(inside))
-    tot = t.groupBy("_blk").agg(F.sum(col).alias("_bt"))
     before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_boff"))
+    t = t.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for c, n in cols.items()])
+    tot = t.groupBy("_blk").agg(*[F.sum(c).alias(f"_bt_{n}") for c, n in cols.items()])
+    tot = tot.select("_blk", *[F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0)).alias(f"_bo_{n}")
+                               for n in cols.values()])
     tot, _ = bounded_broadcast(tot)
-    return (t.join(tot, "_blk").withColumn(name, F.col("_in") + F.col("_boff"))
-            .drop("_blk", "_in", "_boff"))
+    t = t.join(tot, "_blk")
+    for n in cols.values():
+        t = t.withColumn(n, F.col(f"_in_{n}") + F.col(f"_bo_{n}")).drop(f"_in_{n}", f"_bo_{n}")
+    return t.drop("_blk")
+
+
+def range_frame(df: DataFrame, by: list[str], key: str, lo: int, hi: int, value: str,
+                rid: str, sum_name: str = "frame_sum", count_name: str = "frame_count") -> DataFrame:
+    """Sum and count of the non-null ``value`` over the rows of the same group
+    whose ``key`` lies in ``[key - lo, key + hi]`` (``RANGE BETWEEN lo
+    PRECEDING AND hi FOLLOWING``), one row per ``rid`` (a unique row id).
+    ``key`` must not be null; sums are exact for integer ``value``.
+
+    No row pairs are built: every row adds a lower probe (``key - lo``,
+    sorted before data rows of equal key) and an upper probe (``key + hi``,
+    sorted after them) to the data rows. After one global sort, the running
+    sums at the upper probe minus those at the lower probe are the frame's
+    sum and count; everything between the two probes is the same group."""
+    v = F.col(value)
+    zero = F.lit(0).cast("long")
+    data = df.select(*by, F.col(key).alias("_x"), F.lit(0).alias("_kind"),
+                     F.lit(None).cast(df.schema[rid].dataType).alias("_rid"),
+                     F.coalesce(v, F.lit(0)).alias("_v"), F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("_c"))
+    probes = [df.select(*by, (F.col(key) + side * off).alias("_x"), F.lit(side).alias("_kind"),
+                        F.col(rid).alias("_rid"), F.lit(0).cast(data.schema["_v"].dataType).alias("_v"),
+                        zero.alias("_c"))
+              for side, off in ((-1, lo), (1, hi))]
+    u = data.unionByName(probes[0]).unionByName(probes[1])
+    t = _running_sums(positions(u, [*by, "_x", "_kind", "_rid"]), {"_v": "_sv", "_c": "_sc"})
+    sign = F.col("_kind")
+    return (t.filter(F.col("_kind") != 0).groupBy("_rid")
+            .agg(F.sum(sign * F.col("_sv")).alias(sum_name), F.sum(sign * F.col("_sc")).alias(count_name))
+            .withColumnRenamed("_rid", rid))
 
 
 def neighbours(t: DataFrame, by: list[str], wanted: dict[str, tuple[str, int]]) -> DataFrame:

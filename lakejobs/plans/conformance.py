@@ -414,6 +414,41 @@ def q_sql_lag(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
     return out
 
 
+def q_sql_frame(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
+    """``sql_frame`` with hot users split off. Users up to ``hot_rows``
+    events use the windows. For a larger one: positions in (ts, event_id)
+    order give the running count and, by two joins on position, the sum of
+    the last three values; the range frame over event_id is a difference of
+    running sums (:func:`ordering.range_frame`)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    by = ["user_id"]
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    cols = ["event_id", "user_id", "ts", "sum_last3", "avg_near_cents", "n_so_far"]
+    cold, hot = O.split_hot(ev, by, hot_rows)
+    w = Window.partitionBy(*by)
+    out = cold.select(
+        "*",
+        F.round(F.sum("value").over(w.orderBy("ts", "event_id").rowsBetween(-2, 0)), 4).alias("sum_last3"),
+        F.avg(cents).over(w.orderBy("event_id").rangeBetween(-100, 100)).alias("avg_near_cents"),
+        F.count(F.lit(1)).over(w.orderBy("ts", "event_id")
+                               .rowsBetween(Window.unboundedPreceding, 0)).alias("n_so_far")).select(*cols)
+    if hot is not None:
+        t = O.positions(hot, [*by, "ts", "event_id"])
+        t = O.neighbours(t, by, {"_v2": ("value", -2), "_v1": ("value", -1)})
+        t = O.attach(t, O.group_starts(t, by), by)
+        acc = F.lit(None).cast("double")
+        for x in (F.col("_v2"), F.col("_v1"), F.col("value")):   # sum() adds in frame order
+            acc = F.when(x.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0.0)) + x)
+        rf = O.range_frame(hot.select(*by, "event_id", cents.alias("cents")), by, "event_id",
+                           100, 100, "cents", "event_id", "_fs", "_fn")
+        t = (t.join(rf, "event_id")
+             .select("*", F.round(acc, 4).alias("sum_last3"),
+                     F.when(F.col("_fn") > 0, F.col("_fs") / F.col("_fn")).alias("avg_near_cents"),
+                     (F.col(O.POS) - F.col("_start") + 1).alias("n_so_far")))
+        out = out.unionByName(t.select(*cols))
+    return out
+
+
 def q_sql_preview(spark, sf_dir):
     return preview(spark, read_table(spark, sf_dir, "nation"))
 
@@ -430,6 +465,7 @@ QUERIES = {n: _text_query(n) for n in TEXTS}
 QUERIES["sql_pivot"] = q_sql_pivot
 QUERIES["sql_rank"] = q_sql_rank
 QUERIES["sql_lag"] = q_sql_lag
+QUERIES["sql_frame"] = q_sql_frame
 QUERIES["sql_preview"] = q_sql_preview
 QUERIES["sql_count_orders"] = q_sql_count_df
 QUERIES["load_tables"] = q_load_tables

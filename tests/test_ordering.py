@@ -78,7 +78,7 @@ def test_hot_group_spans_sort_partitions(spark, skewed):
     assert parts >= 2
 
 
-@pytest.mark.parametrize("name", ["sql_rank", "sql_lag"])
+@pytest.mark.parametrize("name", ["sql_rank", "sql_lag", "sql_frame"])
 @pytest.mark.parametrize("hot_rows", [0, 20])
 def test_registered_query_hot_path_matches_oracle(spark, sf_dir, name, hot_rows):
     """With a tiny threshold every (0) or some (20) groups take the sorted
@@ -89,3 +89,15 @@ def test_registered_query_hot_path_matches_oracle(spark, sf_dir, name, hot_rows)
     df = conformance.QUERIES[name](spark, sf_dir, hot_rows=hot_rows)
     ok, msg = compare(df, duck(sf_dir), E.oracle_sql()[name])
     assert ok, msg
+
+
+def test_range_frame_duplicates_and_nulls(skewed):
+    """RANGE frame sums and counts with repeated keys, null values and a
+    null group, against Spark's sliding window."""
+    d = skewed.select("c_custkey", "g", F.floor(F.col("c_custkey") / 2).cast("long").alias("k"),
+                      F.col("nk").cast("long").alias("v"))
+    w = Window.partitionBy("g").orderBy("k").rangeBetween(-3, 5)
+    want = d.select("c_custkey", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"))
+    got = (O.range_frame(d, ["g"], "k", 3, 5, "v", "c_custkey", "s", "n")
+           .select("c_custkey", F.when(F.col("n") > 0, F.col("s")).alias("s"), "n"))
+    _same(got, want, ["c_custkey", "s", "n"])
