@@ -22,6 +22,8 @@ without such a task:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -229,3 +231,28 @@ def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str) ->
     position order, as a partial aggregate joined back by group."""
     ends = t.groupBy(*by).agg(F.min_by(col, POS).alias(first), F.max_by(col, POS).alias(last))
     return attach(t, ends, by)
+
+
+# Input tasks up to which a top-n per group is one round.
+TOP_N_FAN_IN = 64
+
+
+def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N_FAN_IN) -> DataFrame:
+    """Rows with ``row_number() <= n`` per group in ``order``.
+
+    Spark cuts every group to ``n`` rows inside each task before the shuffle
+    (window group limit), so the task of one group still receives ``n`` rows
+    from every input task. Above ``fan_in`` input tasks a first round keeps
+    ``n`` rows per group and bucket of input tasks (the map task number, in
+    about sqrt(tasks) buckets); the final task of a group then receives at
+    most ``n * sqrt(tasks)`` rows, and each first-round task as many."""
+    order = _cols(order)
+    tasks = df.rdd.getNumPartitions()
+    if tasks > fan_in:
+        buckets = math.isqrt(tasks - 1) + 1
+        first = Window.partitionBy(*by, "_bucket").orderBy(*order)
+        df = (df.withColumn("_bucket", F.spark_partition_id() % buckets)
+              .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n)
+              .drop("_rn", "_bucket"))
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

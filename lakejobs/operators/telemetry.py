@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from lakejobs.functions.quantity import cpu_millicores, mem_bytes, tail_size
 from lakejobs.functions.status import (HEALTHY, PENDING, pod_health, pod_phase,
                                        rank_status, status_rank)
+from lakejobs.operators.ordering import TOP_N_FAN_IN, top_n
 from lakejobs.plans.joins import bounded_broadcast
 
 # Service display name -> pod label selector (label, value).
@@ -202,15 +203,13 @@ def events_for(events: DataFrame, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- logs
 
-def tail(logs: DataFrame, n=None, by=("pod", "container")) -> DataFrame:
-    """Last ``n`` lines of every (pod, container) at once (OBS-18). The
-    ``row_number() <= n`` filter lets Spark cut each group to n rows inside
-    every task before the shuffle (window group limit), so a pod holding a
-    third of all lines ships at most n rows per task."""
-    k = tail_size(n)
-    w = F.row_number().over(
-        Window.partitionBy(*by).orderBy(F.col("ts").desc(), F.col("line_no").desc()))
-    return logs.withColumn("rn", w).filter(F.col("rn") <= k).drop("rn")
+def tail(logs: DataFrame, n=None, by=("pod", "container"), fan_in: int = TOP_N_FAN_IN) -> DataFrame:
+    """Last ``n`` lines of every (pod, container) at once (OBS-18), newest
+    first by (ts, line_no). Each task cuts a group to n rows before the
+    shuffle; on wide inputs a first round over buckets of input tasks bounds
+    what the task of a pod holding a third of all lines receives
+    (:func:`ordering.top_n`)."""
+    return top_n(logs, list(by), [F.col("ts").desc(), F.col("line_no").desc()], tail_size(n), fan_in)
 
 
 # Fixed value: lines an agent asks for by default.

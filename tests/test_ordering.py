@@ -101,3 +101,20 @@ def test_range_frame_duplicates_and_nulls(skewed):
     got = (O.range_frame(d, ["g"], "k", 3, 5, "v", "c_custkey", "s", "n")
            .select("c_custkey", F.when(F.col("n") > 0, F.col("s")).alias("s"), "n"))
     _same(got, want, ["c_custkey", "s", "n"])
+
+
+def test_top_n_two_rounds_equal_one_round(spark, sf_dir):
+    """Forced first round over task buckets (fan-in 1, 16 input tasks) keeps
+    exactly the rows of the plain per-group top-n; the wide plan shows two
+    window group limits."""
+    ev = read_table(spark, sf_dir, "events").repartition(16, "event_id")
+    order = [F.col("ts").desc(), F.col("event_id").desc()]
+    one = O.top_n(ev, ["event_type"], order, 7)
+    two = O.top_n(ev, ["event_type"], order, 7, fan_in=1)
+    cols = ["event_id", "event_type", "ts"]
+    _same(two, one, cols)
+    assert two.count() == 7 * ev.select("event_type").distinct().count()
+    def limits(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit")
+    assert limits(two) > limits(one) >= 1
