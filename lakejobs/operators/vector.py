@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lakejobs.operators.ordering import top_n
 from lakejobs.session import shared_root
 from lakejobs.sources.tables import spread
 
@@ -202,12 +203,12 @@ def _kernel(block, k: int, id_col: str, vec_col: str, metric: str, cell_col: str
 
 
 def _merge(cands: DataFrame, k: int, id_col: str) -> DataFrame:
-    """Global top-k per query from the per-task candidates (at most a few
-    times k rows per task and query); the rank filter is applied per task
-    before the shuffle as well."""
+    """Global top-k per query from the per-task candidates (at most k rows
+    per task and query); over many corpus tasks the candidates are first
+    cut per bucket of tasks (:func:`ordering.top_n`)."""
+    ranked = top_n(cands, ["qid"], [F.col("score").desc(), F.col(id_col).asc()], k)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (cands.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return ranked.withColumn("rank", F.row_number().over(w))
 
 
 def _as_arrays(rows):
