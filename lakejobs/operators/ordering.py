@@ -47,8 +47,9 @@ def positions(df: DataFrame, order: list, name: str = POS) -> DataFrame:
     """``df`` plus a column ``name``: 1-based position of the row in the
     global order ``order`` (a total order; break ties with a unique column).
 
-    One range-partitioned sort and one write to the shared folder; the
-    per-task offsets (one row per sort partition) are broadcast."""
+    One range-partitioned sort written to the shared folder; the per-task
+    offsets (one row per sort partition) are written beside it and
+    broadcast."""
     spark = df.sparkSession
     path = work_dir(spark, "positions")
     (df.orderBy(*_cols(order)).withColumn("_mid", F.monotonically_increasing_id())
@@ -58,6 +59,10 @@ def positions(df: DataFrame, order: list, name: str = POS) -> DataFrame:
     # one row per sort partition: the only window here without a partition key
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # stored once, so every reader of the positions scans this small table
+    # instead of counting the sorted rows again
+    per.write.parquet(f"{path}-offsets")
+    per = spark.read.parquet(f"{path}-offsets")
     return (t.join(F.broadcast(per), "_part")
             .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(LOCAL_MASK)) + 1)
             .drop("_mid", "_part", "_off"))
@@ -226,10 +231,14 @@ def neighbours(t: DataFrame, by: list[str], wanted: dict[str, tuple[str, int]])
     return out
 
 
-def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str) -> DataFrame:
+def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str,
+               source: DataFrame | None = None) -> DataFrame:
     """``first_value`` / ``last_value`` of ``col`` over the whole group in
-    position order, as a partial aggregate joined back by group."""
-    ends = t.groupBy(*by).agg(F.min_by(col, POS).alias(first), F.max_by(col, POS).alias(last))
+    position order, as a partial aggregate joined back by group. ``source``
+    (default ``t``) is the table the aggregate reads, e.g. the positions
+    before other columns were joined on."""
+    ends = (t if source is None else source).groupBy(*by).agg(
+        F.min_by(col, POS).alias(first), F.max_by(col, POS).alias(last))
     return attach(t, ends, by)
 
 

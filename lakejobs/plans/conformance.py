@@ -407,9 +407,9 @@ def q_sql_lag(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
                                                               Window.unboundedFollowing)).alias("last_key")
                       ).select(*cols)
     if hot is not None:
-        t = O.positions(hot, [*by, "o_orderdate", "o_orderkey"])
-        t = O.neighbours(t, by, {"prev_total": ("o_totalprice", -1), "next2_key": ("o_orderkey", 2)})
-        t = O.first_last(t, by, "o_orderkey", "first_key", "last_key")
+        pos = O.positions(hot, [*by, "o_orderdate", "o_orderkey"])
+        t = O.neighbours(pos, by, {"prev_total": ("o_totalprice", -1), "next2_key": ("o_orderkey", 2)})
+        t = O.first_last(t, by, "o_orderkey", "first_key", "last_key", source=pos)
         out = out.unionByName(t.select(*cols))
     return out
 
@@ -433,9 +433,9 @@ def q_sql_frame(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
         F.count(F.lit(1)).over(w.orderBy("ts", "event_id")
                                .rowsBetween(Window.unboundedPreceding, 0)).alias("n_so_far")).select(*cols)
     if hot is not None:
-        t = O.positions(hot, [*by, "ts", "event_id"])
-        t = O.neighbours(t, by, {"_v2": ("value", -2), "_v1": ("value", -1)})
-        t = O.attach(t, O.group_starts(t, by), by)
+        pos = O.positions(hot, [*by, "ts", "event_id"])
+        t = O.neighbours(pos, by, {"_v2": ("value", -2), "_v1": ("value", -1)})
+        t = O.attach(t, O.group_starts(pos, by), by)
         acc = F.lit(None).cast("double")
         for x in (F.col("_v2"), F.col("_v1"), F.col("value")):   # sum() adds in frame order
             acc = F.when(x.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0.0)) + x)
