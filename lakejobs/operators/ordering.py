@@ -246,7 +246,8 @@ def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str,
 TOP_N_FAN_IN = 64
 
 
-def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N_FAN_IN) -> DataFrame:
+def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N_FAN_IN,
+          name: str | None = None) -> DataFrame:
     """Rows with ``row_number() <= n`` per group in ``order``.
 
     Spark cuts every group to ``n`` rows inside each task before the shuffle
@@ -254,7 +255,8 @@ def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N
     from every input task. Above ``fan_in`` input tasks a first round keeps
     ``n`` rows per group and bucket of input tasks (the map task number, in
     about sqrt(tasks) buckets); the final task of a group then receives at
-    most ``n * sqrt(tasks)`` rows, and each first-round task as many."""
+    most ``n * sqrt(tasks)`` rows, and each first-round task as many.
+    ``name`` keeps the row number under that name."""
     order = _cols(order)
     tasks = df.rdd.getNumPartitions()
     if tasks > fan_in:
@@ -264,4 +266,5 @@ def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N
               .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n)
               .drop("_rn", "_bucket"))
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return out.drop("_rn") if name is None else out.withColumnRenamed("_rn", name)

@@ -449,6 +449,15 @@ def q_sql_frame(spark, sf_dir, hot_rows=O.HOT_GROUP_ROWS):
     return out
 
 
+def q_sql_topn_group(spark, sf_dir, fan_in=O.TOP_N_FAN_IN):
+    """``sql_topn_group`` as a two-round top-n on wide inputs: a supplier
+    with a third of all lines gets at most 3 x sqrt(tasks) rows in its final
+    task (:func:`ordering.top_n`). The oracle is the window text."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]
+    return O.top_n(li, ["l_suppkey"], order, 3, fan_in, name="rn").withColumn("rn", F.col("rn").cast("int"))
+
+
 def q_sql_preview(spark, sf_dir):
     return preview(spark, read_table(spark, sf_dir, "nation"))
 
@@ -466,6 +475,7 @@ QUERIES["sql_pivot"] = q_sql_pivot
 QUERIES["sql_rank"] = q_sql_rank
 QUERIES["sql_lag"] = q_sql_lag
 QUERIES["sql_frame"] = q_sql_frame
+QUERIES["sql_topn_group"] = q_sql_topn_group
 QUERIES["sql_preview"] = q_sql_preview
 QUERIES["sql_count_orders"] = q_sql_count_df
 QUERIES["load_tables"] = q_load_tables

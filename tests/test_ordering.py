@@ -118,3 +118,14 @@ def test_top_n_two_rounds_equal_one_round(spark, sf_dir):
         df.collect()
         return df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit")
     assert limits(two) > limits(one) >= 1
+
+
+@pytest.mark.parametrize("fan_in", [0, 64])
+def test_topn_group_query_matches_oracle(spark, sf_dir, fan_in):
+    """The registered top-n per supplier, one round (64) and forced two rounds (0)."""
+    import __spark_entry__ as E
+    from oracle import compare, duck
+    from lakejobs.plans import conformance
+    df = conformance.QUERIES["sql_topn_group"](spark, sf_dir, fan_in=fan_in)
+    ok, msg = compare(df, duck(sf_dir), E.oracle_sql()["sql_topn_group"])
+    assert ok, msg
