@@ -129,3 +129,15 @@ def test_topn_group_query_matches_oracle(spark, sf_dir, fan_in):
     df = conformance.QUERIES["sql_topn_group"](spark, sf_dir, fan_in=fan_in)
     ok, msg = compare(df, duck(sf_dir), E.oracle_sql()["sql_topn_group"])
     assert ok, msg
+
+
+@pytest.mark.parametrize("n", [3, 7])
+def test_ntile_many_group_sizes(spark, sf_dir, n):
+    """Groups of assorted sizes (some smaller than n) against Spark's ntile."""
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 37).alias("g"),
+        F.when(F.col("c_custkey") % 37 == 5, F.lit(0.0)).otherwise(F.col("c_acctbal")).alias("bal"))
+    w = Window.partitionBy("g").orderBy("bal", "c_custkey")
+    want = c.select("c_custkey", F.ntile(n).over(w).cast("long").alias("t"))
+    got = O.ntile(c, n, ["g"], ["bal", "c_custkey"], "t")
+    _same(got, want, ["c_custkey", "t"])
