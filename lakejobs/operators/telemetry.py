@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lakejobs.functions.quantity import cpu_millicores, mem_bytes, tail_size
 from lakejobs.functions.status import (HEALTHY, PENDING, pod_health, pod_phase,
