@@ -76,17 +76,28 @@ def _null_safe(keys: list[str], ren: dict[str, str]) -> Column:
     return cond
 
 
+# Expected sampled rows of a group exactly at the hot threshold.
+HOT_SAMPLE_HITS = 100
+
+
 def split_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_GROUP_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """``(rows of ordinary groups, rows of hot groups or None)``.
 
-    Group sizes are a partial aggregate (a hot group costs one row per task
-    before the shuffle); a ``limit(1)`` probe settles the common case of no
-    hot group. Otherwise the hot keys, at most ``rows / hot_rows`` of them,
-    are written once to the shared folder so the size check and both joins
-    read the same small table."""
+    Which groups are hot only picks the plan; both paths give exact results
+    for any group, and every row stays in one of the two outputs. So the
+    sizes are counted on a Bernoulli sample of about ``HOT_SAMPLE_HITS`` rows
+    per threshold-sized group (a scan of the group columns, no shuffle of
+    all keys); a group with more than half that many sampled rows is hot.
+    A group well above ``hot_rows`` is found almost surely, and at most
+    ``rows / (hot_rows / 2)`` groups can be found. Small thresholds count
+    every row. A ``limit(1)`` probe settles the common case of no hot group;
+    otherwise the hot keys are written once to the shared folder so the size
+    check and both joins read the same small table."""
     spark = df.sparkSession
-    hot = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(*by))
+    frac = HOT_SAMPLE_HITS / hot_rows if hot_rows > HOT_SAMPLE_HITS else 1.0
+    src, cut = (df, hot_rows) if frac >= 1.0 else (df.sample(fraction=frac, seed=17), HOT_SAMPLE_HITS // 2)
+    hot = (src.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > cut).select(*by))
     if hot.limit(1).isEmpty():
         return df, None
     path = work_dir(spark, "hot-groups")

@@ -141,3 +141,16 @@ def test_ntile_many_group_sizes(spark, sf_dir, n):
     want = c.select("c_custkey", F.ntile(n).over(w).cast("long").alias("t"))
     got = O.ntile(c, n, ["g"], ["bal", "c_custkey"], "t")
     _same(got, want, ["c_custkey", "t"])
+
+
+def test_split_hot_by_sample_keeps_every_row(skewed):
+    """Sampled detection (threshold above the sample hits) finds the group
+    holding two thirds of the rows and no other; the two outputs together
+    hold every row once."""
+    total = skewed.count()
+    n_hot = skewed.filter(F.col("g") == "HOT").count()
+    threshold = max(O.HOT_SAMPLE_HITS + 1, n_hot * 2 // 3)
+    cold, hot = O.split_hot(skewed, ["g"], threshold)
+    assert hot is not None
+    assert [r[0] for r in hot.select("g").distinct().collect()] == ["HOT"]
+    assert hot.count() == n_hot and cold.count() == total - n_hot
