@@ -154,3 +154,14 @@ def test_split_hot_by_sample_keeps_every_row(skewed):
     assert hot is not None
     assert [r[0] for r in hot.select("g").distinct().collect()] == ["HOT"]
     assert hot.count() == n_hot and cold.count() == total - n_hot
+
+
+def test_sorted_path_has_no_single_task_stage(spark, sf_dir):
+    """With every customer hot, the executed plan of ``sql_lag`` reads the
+    stored positions and offsets: no exchange gathers rows into one task
+    (the window branch for the remaining customers is planned but empty)."""
+    from lakejobs.plans import conformance
+    df = conformance.q_sql_lag(spark, sf_dir, hot_rows=0)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
