@@ -47,6 +47,14 @@ def op7_decontamination(spark, sf_dir):
                         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    from lakejobs.llm.suffixdedup import remove_repeats
+
+    out = remove_repeats(read_docs(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark, sf_dir):
     from lakejobs.llm.packing import pack_documents
 
@@ -58,6 +66,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op7_decontamination": op7_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE = oracles.ORACLE
