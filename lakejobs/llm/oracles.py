@@ -1,5 +1,33 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+OP3 = r"""
+WITH rows_ AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS turn, role, text
+  FROM conversations WHERE conv_id IS NOT NULL
+), steps AS (
+  SELECT conv_id, turn, string_agg(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n'), chr(2)
+                                   ORDER BY role, text) AS step
+  FROM rows_ GROUP BY conv_id, turn
+), prefixes AS (
+  SELECT conv_id, string_agg(turn || chr(3) || step, chr(4)) OVER w AS prefix, count(*) OVER w AS n_turns,
+         lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last
+  FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), whole AS (
+  SELECT prefix, min(conv_id) AS conv_id, max(n_turns) AS n_turns, count(*) AS n_copies
+  FROM prefixes WHERE last GROUP BY prefix
+), kept AS (
+  SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE NOT last)
+), blocks AS (
+  SELECT conv_id, floor(turn / 1024.0)::BIGINT AS block, n_turns, n_copies, count(*) AS n_messages,
+         string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10)
+                    || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), ''
+                    ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS rendered
+  FROM rows_ JOIN kept USING (conv_id) GROUP BY ALL
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, n_turns, n_copies, n_messages,
+       sha256(rendered) AS rendered_sha256 FROM blocks
+"""
+
 OP4 = r"""
 WITH lines AS (
   SELECT doc_id, i, raw,
@@ -54,4 +82,4 @@ SELECT d.doc_id, coalesce(len(l.w), 0) AS n_words, coalesce(h.n_hit, 0) AS n_hit
 FROM documents d LEFT JOIN lists l USING (doc_id) LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-ORACLE = {"op4_line_dedup": OP4, "op7_decontamination": OP7}
+ORACLE = {"op3_chat_collapse": OP3, "op4_line_dedup": OP4, "op7_decontamination": OP7}

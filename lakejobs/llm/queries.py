@@ -16,12 +16,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark, sf_dir):
+    from lakejobs.llm.lm import score, target_documents, train
+
+    docs = read_docs(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = target_documents(docs, read_docs(spark, sf_dir, "labels"))
+    return score(docs, train(marked, "target")).drop("text")
+
+
 def op2_toxicity(spark, sf_dir):
     from lakejobs.llm.toxicity import score_documents, train
 
     docs = read_docs(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, read_docs(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_chat_collapse(spark, sf_dir):
+    from lakejobs.llm.chat import collapse
+
+    out = collapse(read_docs(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "part", "n_turns", "n_copies", "n_messages",
+                      F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op4_line_dedup(spark, sf_dir):
@@ -37,6 +53,13 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(read_docs(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    from lakejobs.llm.quality import judge
+
+    return judge(read_docs(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_decontamination(spark, sf_dir):
     from lakejobs.llm.decontam import find_contamination, n_hit
 
@@ -47,6 +70,15 @@ def op7_decontamination(spark, sf_dir):
                         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language_id(spark, sf_dir):
+    from lakejobs.llm.langid import identify, train
+
+    docs = read_docs(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, train(docs))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                      "lang_pred", "score")
+
+
 def op9_suffix_dedup(spark, sf_dir):
     from lakejobs.llm.suffixdedup import remove_repeats
 
@@ -62,10 +94,14 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
+    "op3_chat_collapse": op3_chat_collapse,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
