@@ -96,7 +96,8 @@ def collapse(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     turns = _turns(conversations, (conv_col, turn_col, role_col, text_col))
     kept = maximal(cut(rolling_hashes(turns)))
     message = F.struct("turn", "role", "text", _rendered_turn().alias("shown"))
-    rows = turns.join(kept, "conv_id").withColumn("block", _block())
+    # dealt out by block, so that the join may be split and no conversation meets in one task
+    rows = turns.join(kept, "conv_id").withColumn("block", _block()).repartition("conv_id", "block")
     parts = rows.groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_set(message)).alias("m"), F.first("n_turns").alias("n_turns"),
         F.first("n_copies").alias("n_copies"))

@@ -373,10 +373,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     copied = kinds.where("n > 1").select("x1", "x2", F.array(F.array(F.lit(0), F.col("size"))).alias("runs"))
     found = found.unionByName(copied)
 
-    spans = (members.select("x1", "x2", "k1", "k2", "start").distinct().join(found, ["x1", "x2"])
-             .select("k1", "k2", F.explode(F.transform("runs", lambda r: F.array(
-                 F.col("start") + r[0], (F.col("start") + r[1] + F.lit(length - 1)).cast("int")))).alias("span"))
-             .groupBy("k1", "k2").agg(F.collect_set("span").alias("__spans")))
+    # stored, so that both sides of the last join are plain exchanges, which
+    # Spark splits where one text has very many copies
+    spans = cut(members.select("x1", "x2", "k1", "k2", "start").distinct().join(found, ["x1", "x2"])
+                .select("k1", "k2", F.explode(F.transform("runs", lambda r: F.array(
+                    F.col("start") + r[0], (F.col("start") + r[1] + F.lit(length - 1)).cast("int")))).alias("span"))
+                .groupBy("k1", "k2").agg(F.collect_set("span").alias("__spans")))
     joined = keyed.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
     done = joined.withColumn("__done", _cut_spans()(raw(text_col), F.col("__spans")))
     return done.select(*docs.columns, "__done.*")
