@@ -47,15 +47,14 @@ def mem_bytes(mem: Column | str, extra_units: bool = False) -> Column:
     return F.when(c.isNull() | ~c.rlike(QUANTITY_PATTERN), F.lit(0.0)).otherwise(num * factor)
 
 
-# Log tail size default and cap.
+# Fixed value: log tail size when none is asked for.
 TAIL_DEFAULT = 500
-TAIL_CAP = 10_000
 
 
 def tail_size(text) -> int:
-    """Requested number of log lines: leading integer of the text, missing /
-    zero / unreadable -> 500, capped at 10 000."""
+    """Requested number of log lines: leading integer of the text; missing,
+    zero or unreadable -> 500. Any other number is taken as asked."""
     import re
     m = re.match(r"^\s*([+-]?\d+)", "" if text is None else str(text))
     n = int(m.group(1)) if m else 0
-    return min(n or TAIL_DEFAULT, TAIL_CAP)
+    return n or TAIL_DEFAULT

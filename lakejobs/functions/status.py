@@ -14,12 +14,13 @@ STATUS_RANK = {OFFLINE: 0, PENDING: 1, HEALTHY: 2}
 def pod_phase(deletion_ts: str = "deletion_ts", statuses: str = "statuses",
               phase: str = "phase") -> Column:
     """Terminating when a deletion stamp is set; else the first waiting reason
-    other than ContainerCreating; else the phase; else Unknown."""
+    other than ContainerCreating; else the phase; else Unknown. Empty reasons
+    and an empty phase count as missing."""
     waiting = F.filter(F.col(statuses), lambda s: s["waiting_reason"].isNotNull()
-                       & (s["waiting_reason"] != "ContainerCreating"))
+                       & ~s["waiting_reason"].isin("", "ContainerCreating"))
     return F.coalesce(F.when(F.col(deletion_ts).isNotNull(), F.lit("Terminating")),
                       F.get(waiting, 0)["waiting_reason"],
-                      F.col(phase), F.lit(UNKNOWN))
+                      F.nullif(F.col(phase), F.lit("")), F.lit(UNKNOWN))
 
 
 def pod_health(phase: str = "phase", statuses: str = "statuses") -> Column:

@@ -75,8 +75,7 @@ def service_status(pods: DataFrame, services: DataFrame) -> DataFrame:
     per_pod = with_service(pods, services).select(
         "service", status_rank(pod_health()).alias("rank"))
     best = per_pod.groupBy("service").agg(F.max("rank").alias("rank"))
-    # ``best`` has at most one row per service, a set already checked to be small.
-    return (services.select("service").join(F.broadcast(best), "service", "left")
+    return (services.select("service").join(best, "service", "left")
             .select("service", rank_status(F.col("rank")).alias("status")))
 
 
@@ -84,8 +83,11 @@ def composite_status(status: DataFrame, composites: DataFrame) -> DataFrame:
     """Status of services made of others (OBS-13): all parts Healthy ->
     Healthy; any part Pending -> Pending; else Offline. A missing part counts
     as not Healthy and not Pending."""
-    # ``status`` has one row per service (a set checked to be small).
-    j = composites.join(F.broadcast(status.withColumnRenamed("service", "depends_on")), "depends_on", "left")
+    return _combine(status, composites)
+
+
+def _combine(status: DataFrame, parts: DataFrame) -> DataFrame:
+    j = parts.join(status.withColumnRenamed("service", "depends_on"), "depends_on", "left")
     return (j.groupBy("service")
             .agg(F.bool_and(F.coalesce(F.col("status") == HEALTHY, F.lit(False))).alias("all_h"),
                  F.bool_or(F.coalesce(F.col("status") == PENDING, F.lit(False))).alias("any_p"))
@@ -94,8 +96,11 @@ def composite_status(status: DataFrame, composites: DataFrame) -> DataFrame:
 
 
 def all_statuses(pods: DataFrame, services: DataFrame, composites: DataFrame) -> DataFrame:
-    base = service_status(pods, services)
-    return base.unionByName(composite_status(base, composites))
+    """Plain and composite services. A plain service is made of itself alone,
+    so one aggregate over the small status table serves both kinds and the
+    pods are read once."""
+    own = services.select("service", F.col("service").alias("depends_on")).distinct()
+    return _combine(service_status(pods, services), own.unionByName(composites.select("service", "depends_on")))
 
 
 def health_summary(status: DataFrame, usage: DataFrame | None = None) -> DataFrame:
@@ -114,9 +119,12 @@ def health_summary(status: DataFrame, usage: DataFrame | None = None) -> DataFra
 # ---------------------------------------------------------------- pods
 
 def pod_usage(metrics: DataFrame) -> DataFrame:
-    """Per-pod CPU (millicores) and memory (bytes), summed over its containers
-    and samples (OBS-2 ... OBS-4)."""
-    return (metrics.select("pod", cpu_millicores("cpu").alias("cpu"), mem_bytes("memory").alias("mem"))
+    """Per-pod CPU (millicores) and memory (bytes): the newest sample of each
+    container, summed over the containers (OBS-2 ... OBS-4). Samples without a
+    stamp are the oldest; of equally new ones the largest text wins."""
+    newest = (metrics.groupBy("pod", "container")
+              .agg(F.max(F.struct("ts", "cpu", "memory")).alias("s")))
+    return (newest.select("pod", cpu_millicores("s.cpu").alias("cpu"), mem_bytes("s.memory").alias("mem"))
             .groupBy("pod").agg(F.sum("cpu").alias("cpu_millicores"), F.sum("mem").alias("mem_bytes")))
 
 
@@ -128,13 +136,17 @@ def with_usage(pods: DataFrame, usage: DataFrame) -> DataFrame:
 def pod_readiness(pods: DataFrame) -> DataFrame:
     """Ready containers, total (statuses, else spec), restart sum with a
     missing count as 0, and the healthy flag used for ordering (OBS-7, 10)."""
+    return (pods.select("name", *[c.alias(n) for n, c in _readiness().items()])
+            .withColumn("all_ready", (F.col("ready") == F.col("total")) & (F.col("total") > 0)))
+
+
+def _readiness() -> dict:
     st = F.coalesce(F.col("statuses"), F.array())
     spec = F.coalesce(F.col("spec"), F.array())
     ready = F.size(F.filter(st, lambda s: F.coalesce(s["ready"], F.lit(False))))
     total = F.coalesce(F.nullif(F.size(st), F.lit(0)), F.size(spec))
     restarts = F.aggregate(st, F.lit(0), lambda acc, s: acc + F.coalesce(s["restart_count"], F.lit(0)))
-    return (pods.select("name", ready.alias("ready"), total.alias("total"), restarts.alias("restarts"))
-            .withColumn("all_ready", (F.col("ready") == F.col("total")) & (F.col("total") > 0)))
+    return {"ready": ready, "total": total, "restarts": restarts}
 
 
 def problems_first(readiness: DataFrame) -> DataFrame:
@@ -150,23 +162,42 @@ def with_phase(pods: DataFrame) -> DataFrame:
 def containers(pods: DataFrame) -> DataFrame:
     """One row per spec container with its status found by name in the same
     record (OBS-9): ready false and restarts 0 when there is no status; state
-    Running > Waiting > Terminated > Unknown."""
+    Running > Waiting > Terminated > Unknown by the state that is set, with or
+    without a reason or start time. An empty reason counts as missing."""
+    return (pods.select(F.col("name").alias("pod"), F.explode(_container_details()).alias("c"))
+            .select("pod", "c.*"))
+
+
+def _container_details():
     def detail(s):
         stat = F.get(F.filter(F.coalesce(F.col("statuses"), F.array()),
                               lambda t: t["name"] == s["name"]), 0)
-        state = (F.when(stat["running_started"].isNotNull(), F.lit("Running"))
-                 .when(stat["waiting_reason"].isNotNull(), F.lit("Waiting"))
-                 .when(stat["terminated_reason"].isNotNull(), F.lit("Terminated"))
+        waiting, ended = F.nullif(stat["waiting_reason"], F.lit("")), F.nullif(stat["terminated_reason"], F.lit(""))
+        state = (F.when((stat["state"] == "running") | stat["running_started"].isNotNull(), F.lit("Running"))
+                 .when((stat["state"] == "waiting") | waiting.isNotNull(), F.lit("Waiting"))
+                 .when((stat["state"] == "terminated") | ended.isNotNull(), F.lit("Terminated"))
                  .otherwise(F.lit("Unknown")))
         return F.struct(s["name"].alias("container"), s["image"].alias("image"),
                         F.coalesce(stat["ready"], F.lit(False)).alias("ready"),
                         F.coalesce(stat["restart_count"], F.lit(0)).alias("restart_count"),
-                        state.alias("state"),
-                        F.coalesce(stat["waiting_reason"], stat["terminated_reason"]).alias("reason"),
+                        state.alias("state"), F.coalesce(waiting, ended).alias("reason"),
                         stat["running_started"].alias("started_at"))
-    return (pods.select(F.col("name").alias("pod"),
-                        F.explode(F.transform(F.coalesce(F.col("spec"), F.array()), detail)).alias("c"))
-            .select("pod", "c.*"))
+    return F.transform(F.coalesce(F.col("spec"), F.array()), detail)
+
+
+def pod_records(pods: DataFrame, usage: DataFrame) -> DataFrame:
+    """The full record of every pod: display phase, readiness, node, address,
+    start time (creation time when not started), labels, usage (null without
+    metrics) and its containers, all on the row but for the usage join."""
+    full = pods.select(
+        "*", pod_phase().alias("__phase"), *[c.alias(n) for n, c in _readiness().items()],
+        _container_details().alias("containers"))
+    return with_usage(full, usage).select(
+        "name", F.col("__phase").alias("phase"), "ready", "total", "restarts",
+        F.nullif(F.col("node"), F.lit("")).alias("node"), F.nullif(F.col("pod_ip"), F.lit("")).alias("pod_ip"),
+        F.coalesce("start_ts", "created_ts").alias("start_time"), F.col("created_ts").alias("created_at"),
+        F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels"),
+        "cpu_millicores", "mem_bytes", "containers")
 
 
 # ---------------------------------------------------------------- events
@@ -174,19 +205,22 @@ def containers(pods: DataFrame) -> DataFrame:
 def normalise_events(events: DataFrame) -> DataFrame:
     """Defaults and fall-backs of a cluster event (OBS-15): last seen =
     last -> event time -> deprecated last -> created; first seen = first ->
-    created -> last seen; type Normal, reason '', message '', count 1 when
-    missing or 0; object ``kind/name``. ``warning`` marks Warnings (OBS-17)."""
+    created -> last seen; type Normal and reason '' when missing; message ->
+    note -> ''; count -> deprecated count -> 1, where 0 counts as missing;
+    object ``kind/name``. ``warning`` marks Warnings (OBS-17)."""
+    kind = F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Normal"))
     last = F.coalesce("last_ts", "event_ts", "deprecated_last_ts", "created_ts")
     return events.select(
-        F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Normal")).alias("type"),
+        kind.alias("type"),
         F.coalesce(F.col("reason"), F.lit("")).alias("reason"),
-        F.coalesce(F.col("message"), F.lit("")).alias("message"),
+        F.coalesce(F.nullif(F.col("message"), F.lit("")), F.col("note"), F.lit("")).alias("message"),
         F.concat(F.coalesce(F.col("kind"), F.lit("")), F.lit("/"),
                  F.coalesce(F.col("name"), F.lit(""))).alias("object"),
-        F.coalesce(F.nullif(F.col("count"), F.lit(0)), F.lit(1)).alias("count"),
+        F.coalesce(F.nullif(F.col("count"), F.lit(0)), F.nullif(F.col("deprecated_count"), F.lit(0)),
+                   F.lit(1)).alias("count"),
         F.coalesce(F.col("first_ts"), F.col("created_ts"), last).alias("first_seen"),
         last.alias("last_seen"),
-        (F.col("type") == "Warning").alias("warning"),
+        (kind == "Warning").alias("warning"),
         F.col("name").alias("object_name"),
     )
 
@@ -208,7 +242,11 @@ def tail(logs: DataFrame, n=None, by=("pod", "container"), fan_in: int = TOP_N_F
     shuffle; on wide inputs a first round over buckets of input tasks bounds
     what the task of a pod holding a third of all lines receives
     (:func:`ordering.top_n`)."""
-    return top_n(logs, list(by), [F.col("ts").desc(), F.col("line_no").desc()], tail_size(n), fan_in)
+    return _last_lines(logs, tail_size(n), by, fan_in)
+
+
+def _last_lines(logs: DataFrame, n: int, by, fan_in: int = TOP_N_FAN_IN) -> DataFrame:
+    return top_n(logs, list(by), [F.col("ts").desc(), F.col("line_no").desc()], n, fan_in)
 
 
 # Fixed value: lines an agent asks for by default.
@@ -222,8 +260,9 @@ def platform_status(pods: DataFrame) -> DataFrame:
 
 def service_logs(logs: DataFrame, fragment: str, lines=AGENT_TAIL_DEFAULT) -> DataFrame:
     """Last ``lines`` lines of every pod whose name contains ``fragment``
-    (agent log tool; there the first matching pod only, here all of them)."""
-    return tail(logs.filter(F.col("pod").contains(fragment)), lines, by=("pod",))
+    (agent log tool; there the first matching pod only, here all of them).
+    The number is taken as asked; 0 gives no line."""
+    return _last_lines(logs.filter(F.col("pod").contains(fragment)), int(lines), by=("pod",))
 
 
 def grep(logs: DataFrame, text: str | None, col: str = "line") -> DataFrame:
@@ -238,14 +277,19 @@ LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def export(logs: DataFrame, path: str, by: str = "pod") -> None:
-    """Write log lines as plain text files, one folder per pod (OBS-22).
-    Lines keep their order inside each file; no task gathers a whole pod."""
-    (logs.select(by, F.concat_ws(" ", F.date_format("ts", LOG_TS_FORMAT), F.col("line")).alias("value"))
-     .sortWithinPartitions(by)
-     .write.mode("overwrite").option("maxRecordsPerFile", 1_000_000)
-     .partitionBy(by).text(path))
+    """Write log lines as plain text files, one folder per pod (OBS-22). Lines
+    are in order of time and line number inside each file. Lines are dealt out
+    by pod, and AQE splits a pod too large for one task over several files. A
+    new export replaces the last one whole, pods that are gone included."""
+    line = F.concat_ws(" ", F.date_format("ts", LOG_TS_FORMAT), F.col("line"))
+    (logs.select(by, "ts", "line_no", line.alias("value"))
+     .hint("rebalance", F.col(by)).sortWithinPartitions(by, "ts", "line_no").select(by, "value")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .option("maxRecordsPerFile", 1_000_000).partitionBy(by).text(path))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("basePath", path).text(path)
-            .select(F.col("pod").cast(T.StringType()).alias("pod"), F.col("value").alias("line")))
+    """The exported lines. The pod is declared as text, so ``007`` stays ``007``."""
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("pod", T.StringType())])
+    return (spark.read.schema(schema).option("basePath", path).text(path)
+            .select("pod", F.col("value").alias("line")))

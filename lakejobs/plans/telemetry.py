@@ -29,10 +29,14 @@ def _container_cols():
             f"{' AND x % 2 = 1' if i == 3 else ''} AS c{i}_has_status",
             f"(x + {i}) % 4 <> 0 AS c{i}_ready",
             f"CASE WHEN (x + {i}) % 5 = 0 THEN NULL ELSE CAST((x + {i}) % 3 AS INT) END AS c{i}_restarts",
-            f"CASE WHEN (x + {i}) % 4 <> 0 THEN '2024-01-02 03:04:05' END AS c{i}_running",
+            f"CASE WHEN (x + {i}) % 4 <> 0 AND x % 7 <> 0 THEN '2024-01-02 03:04:05' END AS c{i}_running",
             f"CASE WHEN (x + {i}) % 4 = 0 AND (x + k) % 2 = 0 THEN "
-            f"(CASE WHEN (x + {i}) % 3 = 0 THEN 'ContainerCreating' ELSE 'CrashLoopBackOff' END) END AS c{i}_waiting",
-            f"CASE WHEN (x + {i}) % 4 = 0 AND (x + k) % 2 = 1 THEN 'Error' END AS c{i}_terminated",
+            f"(CASE (x + {i}) % 5 WHEN 0 THEN 'ContainerCreating' WHEN 1 THEN '' WHEN 2 THEN NULL "
+            f"ELSE 'CrashLoopBackOff' END) END AS c{i}_waiting",
+            f"CASE WHEN (x + {i}) % 4 = 0 AND (x + k) % 2 = 1 THEN "
+            f"(CASE x % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Error' END) END AS c{i}_terminated",
+            f"CASE WHEN (x + {i}) % 4 <> 0 THEN 'running' WHEN k % 13 = 0 THEN NULL "
+            f"WHEN (x + k) % 2 = 0 THEN 'waiting' ELSE 'terminated' END AS c{i}_state",
         ]
     return ",\n       ".join(out)
 
@@ -47,11 +51,13 @@ FROM (
          CAST(floor(abs(c_acctbal)) AS BIGINT) AS x,
          CASE WHEN c_acctbal < -500 THEN '2024-01-31 00:00:00' END AS deletion_ts,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'Running' WHEN 'AUTOMOBILE' THEN 'Running'
-              WHEN 'MACHINERY' THEN 'Pending' WHEN 'HOUSEHOLD' THEN 'Failed' END AS phase,
+              WHEN 'MACHINERY' THEN 'Pending'
+              WHEN 'HOUSEHOLD' THEN CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Failed' END END AS phase,
          {_svc('label')} AS svc_label,
          {_svc('value')} AS svc_value,
          lower(c_mktsegment) AS segment,
          CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL
+              WHEN c_nationkey % 6 = 0 THEN ''
               ELSE concat('node-', CAST(c_nationkey % 5 AS STRING)) END AS node,
          concat('10.', CAST(c_nationkey AS STRING), '.', CAST(c_custkey % 250 AS STRING)) AS pod_ip,
          CASE WHEN c_acctbal > 0 THEN '2024-01-02 03:04:05' END AS start_ts,
@@ -79,7 +85,8 @@ SELECT {_POD_NAME} AS pod,
          WHEN 3 THEN concat(CAST({_N} AS STRING), 'M')
          WHEN 4 THEN concat(CAST({_N} AS STRING), 'Xi')
          ELSE CASE WHEN {_N} % 4 = 1 THEN 'x' ELSE CAST({_N} AS STRING) END
-       END AS memory
+       END AS memory,
+       CASE WHEN event_id % 50 = 0 THEN NULL ELSE date_trunc('hour', ts) END AS ts
 FROM {{events}}
 """
 
@@ -89,11 +96,14 @@ SELECT event_id,
                        WHEN 'view' THEN '' ELSE 'Normal' END AS type,
        CASE WHEN value < 2 THEN NULL
             ELSE concat(upper(substr(event_type, 1, 1)), substr(event_type, 2)) END AS reason,
-       CASE WHEN value < 3 THEN NULL ELSE concat(event_type, ' ', props) END AS message,
+       CASE WHEN value < 3 THEN NULL WHEN event_id % 10 = 3 THEN ''
+            ELSE concat(event_type, ' ', props) END AS message,
+       CASE WHEN event_id % 4 = 1 THEN NULL ELSE concat('note ', event_type) END AS note,
        CASE WHEN value < 1 THEN NULL ELSE 'Pod' END AS kind,
        CASE WHEN value > 200 THEN NULL ELSE {_POD_NAME} END AS name,
        CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 7 = 0 THEN NULL
             ELSE CAST(event_id % 9 AS INT) END AS count,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 4 AS INT) END AS deprecated_count,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts - INTERVAL '1' HOUR END AS first_ts,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS last_ts,
        CASE WHEN event_id % 8 = 0 THEN ts + INTERVAL '1' MINUTE END AS event_ts,
@@ -123,7 +133,7 @@ def pods(spark, sf_dir):
             F.col(f"c{i}_name").alias("name"), F.col(f"c{i}_ready").alias("ready"),
             F.col(f"c{i}_restarts").alias("restart_count"), ts(f"c{i}_running").alias("running_started"),
             F.col(f"c{i}_waiting").alias("waiting_reason"),
-            F.col(f"c{i}_terminated").alias("terminated_reason")))
+            F.col(f"c{i}_terminated").alias("terminated_reason"), F.col(f"c{i}_state").alias("state")))
         for i in range(1, 4)]), lambda s: s.isNotNull()).cast(f"array<{CONTAINER_STATUS.simpleString()}>")
     labels = F.when(F.col("svc_label").isNull(), F.create_map(F.lit("segment"), F.col("segment"))) \
         .otherwise(F.create_map(F.col("svc_label"), F.col("svc_value"), F.lit("segment"), F.col("segment")))
@@ -133,7 +143,7 @@ def pods(spark, sf_dir):
 
 
 def metrics(spark, sf_dir):
-    return spark_input(spark, sf_dir, METRICS)
+    return spark_input(spark, sf_dir, METRICS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def cluster_events(spark, sf_dir):
@@ -152,6 +162,16 @@ def q_obs_usage(spark, sf_dir):
     return out.select("name", F.round("cpu_millicores", 3).alias("cpu_millicores"), "mem_bytes")
 
 
+def q_obs_pods(spark, sf_dir):
+    full = O.pod_records(pods(spark, sf_dir), O.pod_usage(metrics(spark, sf_dir)))
+    labels = F.array_join(F.array_sort(F.transform(F.map_entries("labels"),
+                                                   lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return full.select("name", "phase", "ready", "total", "restarts", "node", "pod_ip", "start_time", "created_at",
+                       labels.alias("labels"), F.round("cpu_millicores", 3).alias("cpu_millicores"), "mem_bytes",
+                       F.size("containers").alias("n_containers"),
+                       F.size(F.filter("containers", lambda c: c["state"] == "Running")).alias("n_running"))
+
+
 def q_obs_readiness(spark, sf_dir):
     return O.problems_first(O.pod_readiness(pods(spark, sf_dir)))
 
@@ -211,8 +231,10 @@ def q_obs_grep(spark, sf_dir):
 
 
 def q_obs_export(spark, sf_dir):
-    path = work_dir(spark, "logs-export")
-    O.export(O.grep(log_lines(spark, sf_dir), "purchase"), path)
+    """Exported twice; the second time without the pods of the first that are gone."""
+    path, lines = work_dir(spark, "logs-export"), log_lines(spark, sf_dir)
+    O.export(lines.withColumn("pod", F.concat(F.lit("gone-"), F.col("pod"))).unionByName(lines), path)
+    O.export(lines, path)
     return O.read_export(spark, path)
 
 
@@ -233,7 +255,7 @@ _PODS = duck_text(PODS_FLAT)
 _CONT = " UNION ALL ".join(
     f"SELECT name AS pod, {i} AS idx, c{i}_name AS cname, c{i}_image AS image, c{i}_has_status AS has_status, "
     f"c{i}_ready AS ready, c{i}_restarts AS restarts, c{i}_running AS running, c{i}_waiting AS waiting, "
-    f"c{i}_terminated AS terminated FROM pf WHERE c{i}_name IS NOT NULL" for i in range(1, 4))
+    f"c{i}_terminated AS terminated, c{i}_state AS state FROM pf WHERE c{i}_name IS NOT NULL" for i in range(1, 4))
 _WITH_PODS = f"WITH pf AS ({_PODS}), cont AS ({_CONT})"
 
 _CPU = """CASE WHEN cpu IS NULL OR cpu = '' THEN 0.0
@@ -249,7 +271,9 @@ _MEM = f"""CASE WHEN memory IS NULL OR NOT regexp_matches(memory, {_RX}) THEN 0.
             WHEN 'Ti' THEN 1099511627776.0 WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6
             WHEN 'G' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1.0 END END"""
 _USAGE = f"""usage AS (
-  SELECT pod, sum({_CPU}) AS cpu, sum({_MEM}) AS mem FROM ({duck_text(METRICS)}) m GROUP BY pod)"""
+  SELECT pod, sum({_CPU}) AS cpu, sum({_MEM}) AS mem FROM (
+    SELECT * FROM ({duck_text(METRICS)}) m QUALIFY row_number() OVER (
+      PARTITION BY pod, container ORDER BY ts DESC NULLS LAST, cpu DESC, memory DESC) = 1) n GROUP BY pod)"""
 
 _HEALTH = """CASE WHEN pf.phase = 'Running' THEN
        CASE WHEN (SELECT count(*) FROM cont c WHERE c.pod = pf.name AND c.has_status) > 0
@@ -271,44 +295,58 @@ allst AS (SELECT * FROM status UNION ALL SELECT * FROM comp)"""
 _EV = f"""WITH ev AS ({duck_text(CLUSTER_EVENTS)}),
 norm AS (
 SELECT coalesce(nullif(type, ''), 'Normal') AS type, coalesce(reason, '') AS reason,
-       coalesce(message, '') AS message, concat(coalesce(kind, ''), '/', coalesce(name, '')) AS object,
-       coalesce(nullif(count, 0), 1) AS count,
+       coalesce(nullif(message, ''), note, '') AS message, concat(coalesce(kind, ''), '/', coalesce(name, '')) AS object,
+       coalesce(nullif(count, 0), nullif(deprecated_count, 0), 1) AS count,
        coalesce(first_ts, created_ts, last_ts, event_ts, deprecated_last_ts, created_ts) AS first_seen,
        coalesce(last_ts, event_ts, deprecated_last_ts, created_ts) AS last_seen,
-       type = 'Warning' AS warning, name AS object_name
+       coalesce(type = 'Warning', false) AS warning, name AS object_name
 FROM ev)"""
 
 _LOGS = duck_text(LOG_LINES)
 
-ORACLE = {
-    "obs_usage": f"""{_WITH_PODS}, {_USAGE}
-SELECT pf.name, round(u.cpu, 3) AS cpu_millicores, u.mem AS mem_bytes FROM pf LEFT JOIN usage u ON u.pod = pf.name""",
-    "obs_readiness": f"""{_WITH_PODS},
-r AS (SELECT pf.name,
+_STATE = """CASE WHEN coalesce(state = 'running', false) OR running IS NOT NULL THEN 'Running'
+            WHEN coalesce(state = 'waiting', false) OR nullif(waiting, '') IS NOT NULL THEN 'Waiting'
+            WHEN coalesce(state = 'terminated', false) OR nullif(terminated, '') IS NOT NULL THEN 'Terminated'
+            ELSE 'Unknown' END"""
+_READY = """r AS (SELECT pf.name,
         CAST((SELECT count(*) FROM cont c WHERE c.pod = pf.name AND c.has_status AND c.ready) AS INT) AS ready,
         CAST(CASE WHEN (SELECT count(*) FROM cont c WHERE c.pod = pf.name AND c.has_status) > 0
              THEN (SELECT count(*) FROM cont c WHERE c.pod = pf.name AND c.has_status)
              ELSE (SELECT count(*) FROM cont c WHERE c.pod = pf.name) END AS INT) AS total,
         CAST(coalesce((SELECT sum(coalesce(c.restarts, 0)) FROM cont c WHERE c.pod = pf.name AND c.has_status), 0) AS INT) AS restarts
-      FROM pf)
+      FROM pf)"""
+_PHASE = """ph AS (SELECT pf.name, coalesce(
+   CASE WHEN pf.deletion_ts IS NOT NULL THEN 'Terminating' END,
+   (SELECT c.waiting FROM cont c WHERE c.pod = pf.name AND c.has_status AND c.waiting IS NOT NULL
+      AND c.waiting NOT IN ('', 'ContainerCreating') ORDER BY c.idx LIMIT 1),
+   nullif(pf.phase, ''), 'Unknown') AS phase
+FROM pf)"""
+
+ORACLE = {
+    "obs_usage": f"""{_WITH_PODS}, {_USAGE}
+SELECT pf.name, round(u.cpu, 3) AS cpu_millicores, u.mem AS mem_bytes FROM pf LEFT JOIN usage u ON u.pod = pf.name""",
+    "obs_readiness": f"""{_WITH_PODS}, {_READY}
 SELECT *, ready = total AND total > 0 AS all_ready FROM r""",
+    "obs_pods": f"""{_WITH_PODS}, {_READY}, {_PHASE}, {_USAGE}
+SELECT pf.name, ph.phase, r.ready, r.total, r.restarts, nullif(pf.node, '') AS node, nullif(pf.pod_ip, '') AS pod_ip,
+       CAST(coalesce(pf.start_ts, pf.created_ts) AS TIMESTAMP) AS start_time, CAST(pf.created_ts AS TIMESTAMP) AS created_at,
+       CASE WHEN pf.svc_label IS NULL THEN 'segment=' || pf.segment
+            ELSE concat_ws(',', least(pf.svc_label || '=' || pf.svc_value, 'segment=' || pf.segment),
+                           greatest(pf.svc_label || '=' || pf.svc_value, 'segment=' || pf.segment)) END AS labels,
+       round(u.cpu, 3) AS cpu_millicores, u.mem AS mem_bytes,
+       CAST((SELECT count(*) FROM cont c WHERE c.pod = pf.name) AS INT) AS n_containers,
+       CAST((SELECT count(*) FROM cont c WHERE c.pod = pf.name AND c.has_status AND {_STATE} = 'Running') AS INT) AS n_running
+FROM pf JOIN r ON r.name = pf.name JOIN ph ON ph.name = pf.name LEFT JOIN usage u ON u.pod = pf.name""",
     "obs_containers": f"""{_WITH_PODS}
 SELECT pod, cname AS container, image,
        CASE WHEN has_status THEN ready ELSE false END AS ready,
        CASE WHEN has_status THEN coalesce(restarts, 0) ELSE 0 END AS restart_count,
-       CASE WHEN NOT has_status THEN 'Unknown' WHEN running IS NOT NULL THEN 'Running'
-            WHEN waiting IS NOT NULL THEN 'Waiting' WHEN terminated IS NOT NULL THEN 'Terminated'
-            ELSE 'Unknown' END AS state,
-       CASE WHEN has_status THEN coalesce(waiting, terminated) END AS reason,
+       CASE WHEN NOT has_status THEN 'Unknown' ELSE {_STATE} END AS state,
+       CASE WHEN has_status THEN coalesce(nullif(waiting, ''), nullif(terminated, '')) END AS reason,
        CASE WHEN has_status THEN CAST(running AS TIMESTAMP) END AS started_at
 FROM cont""",
-    "obs_phase": f"""{_WITH_PODS}
-SELECT pf.name, coalesce(
-   CASE WHEN pf.deletion_ts IS NOT NULL THEN 'Terminating' END,
-   (SELECT c.waiting FROM cont c WHERE c.pod = pf.name AND c.has_status AND c.waiting IS NOT NULL
-      AND c.waiting <> 'ContainerCreating' ORDER BY c.idx LIMIT 1),
-   pf.phase, 'Unknown') AS phase
-FROM pf""",
+    "obs_phase": f"""{_WITH_PODS}, {_PHASE}
+SELECT name, phase FROM ph""",
     "obs_service_status": f"""{_WITH_PODS}, {_STATUS}
 SELECT * FROM status""",
     "obs_composite": f"""{_WITH_PODS}, {_STATUS}
@@ -339,11 +377,12 @@ WHERE rn <= {O.AGENT_TAIL_DEFAULT}""",
 SELECT * FROM ({_LOGS}) l WHERE contains(lower(line), lower('{GREP_TEXT}'))""",
     "obs_export": f"""
 SELECT pod, concat(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ' ', line) AS line
-FROM ({_LOGS}) l WHERE contains(lower(line), 'purchase')""",
+FROM ({_LOGS}) l""",
 }
 
 QUERIES = {
     "obs_usage": q_obs_usage,
+    "obs_pods": q_obs_pods,
     "obs_readiness": q_obs_readiness,
     "obs_containers": q_obs_containers,
     "obs_phase": q_obs_phase,

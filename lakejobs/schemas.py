@@ -34,6 +34,7 @@ CONTAINER_STATUS = T.StructType([
     T.StructField("running_started", T.TimestampNTZType()),
     T.StructField("waiting_reason", T.StringType()),
     T.StructField("terminated_reason", T.StringType()),
+    T.StructField("state", T.StringType()),  # running, waiting or terminated: the state that is set
 ])
 
 POD = T.StructType([
@@ -54,6 +55,7 @@ METRIC = T.StructType([
     T.StructField("container", T.StringType()),
     T.StructField("cpu", T.StringType()),
     T.StructField("memory", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
 ])
 
 CLUSTER_EVENT = T.StructType([
@@ -68,6 +70,8 @@ CLUSTER_EVENT = T.StructType([
     T.StructField("event_ts", T.TimestampNTZType()),
     T.StructField("deprecated_last_ts", T.TimestampNTZType()),
     T.StructField("created_ts", T.TimestampNTZType()),
+    T.StructField("note", T.StringType()),
+    T.StructField("deprecated_count", T.IntegerType()),
 ])
 
 LOG_LINE = T.StructType([

@@ -34,7 +34,8 @@ def read_external(spark: SparkSession, kind: str, path: str | None = None,
 
 def write_external(df: DataFrame, kind: str, path: str, mode: str = "overwrite",
                    partition_by=(), **options) -> None:
-    w = df.write.mode(mode).options(**options)
+    # an overwrite replaces the whole target, whatever the session's partition mode is
+    w = df.write.mode(mode).option("partitionOverwriteMode", "static").options(**options)
     if kind == "csv":
         w = w.option("header", "true")
     if partition_by:

@@ -30,7 +30,7 @@ def test_mem_bytes(spark):
 
 
 def test_tail_size():
-    assert [tail_size(x) for x in (None, "0", "abc", "20000", "7")] == [500, 500, 500, 10000, 7]
+    assert [tail_size(x) for x in (None, "0", "abc", "20000", "7")] == [500, 500, 500, 20000, 7]
 
 
 def _statuses(spark, rows):
@@ -38,7 +38,7 @@ def _statuses(spark, rows):
 
 
 def _st(ready=None, waiting=None):
-    return ("c", ready, 0, None, waiting, None)
+    return ("c", ready, 0, None, waiting, None, None)
 
 
 def test_pod_phase(spark):
@@ -48,9 +48,11 @@ def test_pod_phase(spark):
         (None, "Running", [_st(waiting="ContainerCreating"), _st(waiting="CrashLoopBackOff")]),
         (None, "Pending", [_st(waiting="ContainerCreating")]),
         (None, None, []),
+        (None, "Running", [_st(waiting=""), _st(waiting="ImagePullBackOff")]),
+        (None, "", [_st(waiting="")]),
     ])
     got = [r[0] for r in df.select(pod_phase()).collect()]
-    assert got == ["Terminating", "CrashLoopBackOff", "Pending", "Unknown"]
+    assert got == ["Terminating", "CrashLoopBackOff", "Pending", "Unknown", "ImagePullBackOff", "Unknown"]
 
 
 def test_pod_health(spark):
@@ -100,11 +102,13 @@ def test_composite(spark, a, b, want):
 def test_normalise_events(spark):
     c, l = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
     rows = [
-        (None, None, None, "Pod", "x", None, None, None, None, None, c),
-        ("Warning", "R", "m", None, None, 0, None, l, None, None, None),
+        (None, None, None, "Pod", "x", None, None, None, None, None, c, "n", 4),
+        ("Warning", "R", "m", None, None, 0, None, l, None, None, None, "n", 0),
+        ("", None, "", None, None, 3, None, l, None, None, None, None, 9),
     ]
     df = O.normalise_events(spark.createDataFrame(rows, CLUSTER_EVENT)).collect()
-    assert (df[0].first_seen, df[0].last_seen, df[0].type, df[0]["count"], df[0].object) == (c, c, "Normal", 1, "Pod/x")
+    assert (df[0].first_seen, df[0].last_seen, df[0].type, df[0]["count"], df[0].object) == (c, c, "Normal", 4, "Pod/x")
+    assert (df[0].message, df[0].warning, df[2].message, df[2].warning, df[2]["count"]) == ("n", False, "", False, 3)
     assert (df[1].first_seen, df[1]["count"], df[1].object, df[1].warning) == (l, 1, "/", True)
 
 
@@ -158,3 +162,42 @@ def test_silver_cases(spark):
     assert silver.count() + rej.count() == bronze.count()
     with pytest.raises(Exception):
         S.to_silver(bronze, strict=True).collect()
+
+
+def test_tail_gives_what_is_asked(spark):
+    logs = spark.range(13_000).selectExpr("'p' AS pod", "'c' AS container", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts",
+                                          "id AS line_no", "'x' AS line")
+    assert O.tail(logs, 12_000).count() == 12_000
+    assert O.service_logs(logs, "p", 12_000).count() == 12_000
+    assert O.service_logs(logs, "p", 0).count() == 0
+    assert O.tail(logs, 0).count() == 500
+
+
+def test_usage_takes_the_newest_sample(spark):
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    rows = [("p", "a", "5m", "1Ki", t1), ("p", "a", "7m", "2Ki", t2), ("p", "b", "1m", "3", None), ("q", "a", "2", "x", t1)]
+    df = spark.createDataFrame(rows, "pod string, container string, cpu string, memory string, ts timestamp_ntz")
+    got = {r.pod: (r.cpu_millicores, r.mem_bytes) for r in O.pod_usage(df).collect()}
+    assert got == {"p": (8.0, 2051.0), "q": (2000.0, 0.0)}
+
+
+def test_container_state_needs_no_reason(spark):
+    spec = [("a", "i"), ("b", "i"), ("c", "i"), ("d", "i"), ("e", "i")]
+    st = [("a", True, 1, None, None, None, "running"), ("b", False, None, None, None, None, "waiting"),
+          ("c", False, 0, None, "", "", "terminated"), ("d", False, 0, None, "", None, None)]
+    pods = spark.createDataFrame([("p", spec, st)], f"name string, spec array<struct<name:string,image:string>>, "
+                                 f"statuses array<{CONTAINER_STATUS.simpleString()}>")
+    got = {r.container: (r.state, r.reason) for r in O.containers(pods).collect()}
+    assert got == {"a": ("Running", None), "b": ("Waiting", None), "c": ("Terminated", None), "d": ("Unknown", None),
+                   "e": ("Unknown", None)}
+
+
+def test_export_replaces_and_keeps_names_and_order(spark, tmp_path):
+    schema = "pod string, ts timestamp_ntz, line_no long, line string"
+    t = dt.datetime(2024, 1, 1)
+    lines = [(p, t, i, f"l{i}") for p in ("007", "08", "gone") for i in range(300)]
+    O.export(spark.createDataFrame(lines, schema).repartition(7), str(tmp_path))
+    O.export(spark.createDataFrame([x for x in lines if x[0] != "gone"], schema).repartition(7), str(tmp_path))
+    assert {r.pod for r in O.read_export(spark, str(tmp_path)).collect()} == {"007", "08"}
+    files = list(tmp_path.glob("pod=007/*.txt"))
+    assert len(files) == 1 and [x.split()[-1] for x in files[0].read_text().splitlines()] == [f"l{i}" for i in range(300)]
