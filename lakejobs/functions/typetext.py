@@ -19,38 +19,21 @@ from pyspark.sql import types as T
 # this package on their path).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_MISSING = object()
-
-
-def _js_text(v) -> str:
-    if v is _MISSING:
-        return "undefined"
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, float) and v.is_integer():
-        return str(int(v))
-    return str(v)
+UNKNOWN = "?"  # fixed value: shown where a type or a name is missing
 
 
 def render_type(t) -> str:
-    if isinstance(t, str):
+    """Text of a type; anything that is no type is ``?``."""
+    if isinstance(t, str) and t:
         return t
-    if isinstance(t, list):
-        return "?"
-    if not isinstance(t, dict):
-        return _js_text(t)
-    kind = t.get("type")
+    kind = t.get("type") if isinstance(t, dict) else None
     if kind == "struct":
-        inner = ", ".join(f"{_js_text(f.get('name', _MISSING))}:{render_type(f.get('type', _MISSING))}"
-                          for f in (t.get("fields") or []))
-        return f"struct<{inner}>"
-    if kind == "list":
-        return f"list<{render_type(t.get('element', _MISSING))}>"
-    if kind == "map":
-        return f"map<{render_type(t.get('key', _MISSING))}, {render_type(t.get('value', _MISSING))}>"
-    return kind if kind else "?"
+        fields = [f for f in t.get("fields") or [] if isinstance(f, dict)]
+        return f"struct<{', '.join(f'{f.get('name') or UNKNOWN}:{render_type(f.get('type'))}' for f in fields)}>"
+    if kind in ("list", "map"):
+        parts = ("element",) if kind == "list" else ("key", "value")
+        return f"{kind}<{', '.join(render_type(t.get(p)) for p in parts)}>"
+    return kind if isinstance(kind, str) and kind else UNKNOWN
 
 
 def _text(raw):

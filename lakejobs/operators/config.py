@@ -8,6 +8,8 @@ with partial aggregation, so no file is ever gathered into one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ _WS_TRIM = r"^\s+|\s+$"
 
 def read_property_files(spark: SparkSession, path: str, suffix: str = ".properties") -> DataFrame:
     """``(name, content)`` for every ``*.properties`` file under ``path``:
-    one row per file (whole text), name = file name without the suffix."""
-    df = spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+    one row per file (whole text). Its name is the path below ``path`` without
+    the suffix, so files of one name in different folders stay apart."""
+    root = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/"
+    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+        F.substring_index(F.col("_metadata.file_path"), root, -1).alias("file_name"), F.col("value").alias("content"))
     return (df.filter(F.col("file_name").endswith(suffix))
             .select(F.expr(f"substr(file_name, 1, length(file_name) - {len(suffix)})").alias("name"),
                     "content"))
@@ -56,13 +60,14 @@ def redact(props: DataFrame, key: str = "key", value: str = "value") -> DataFram
 
 
 def catalog_connectors(props: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Connector of every catalogue, ``unknown`` when not set. Pass ``files``
+    """Connector of every catalogue, ``unknown`` when not set or empty. Pass ``files``
     so a file with no usable line at all is listed too."""
     per = props.groupBy("name").agg(
         F.max(F.when(F.col("key") == CONNECTOR_KEY, F.col("value"))).alias("connector"))
     if files is not None:
         per = files.select("name").distinct().join(per, "name", "left")
-    return per.select("name", F.coalesce("connector", F.lit(UNKNOWN_CONNECTOR)).alias("connector"))
+    return per.select("name", F.coalesce(F.nullif(F.col("connector"), F.lit("")),
+                                          F.lit(UNKNOWN_CONNECTOR)).alias("connector"))
 
 
 def connector_counts(connectors: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakejobs.functions.typetext import type_text
-from lakejobs.schemas import TABLE_METADATA
+from lakejobs.schemas import METADATA_FIELDS
 from lakejobs.sources.tables import spread
 
 NO_OPERATION = "—"  # fixed value: shown when a snapshot names no operation
@@ -30,10 +31,30 @@ def read_metadata_files(spark: SparkSession, path: str) -> DataFrame:
                      F.col("value").alias("doc"))
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    """Documents in either form: the metadata itself, as it lies in a file, or
+    wrapped as ``{"metadata": ...}``, as a catalogue service answers. Each is
+    parsed once, with both forms declared; what does not parse has no ``md``."""
+    both = T.StructType([*METADATA_FIELDS.fields, T.StructField("metadata", METADATA_FIELDS)])
+    got = F.from_json("doc", both)
+    d = F.col("__d")
+    known = F.greatest(*[d[k].isNotNull() for k in ("location", "table-uuid", "format-version", "schemas", "schema")])
+    bare = F.struct(*[d[f.name].alias(f.name) for f in METADATA_FIELDS.fields])
+    md = F.coalesce(d["metadata"], F.when(known, bare))
+    return (spread(docs).withColumn("__d", got)
+            .select(F.array_join("namespace", ".").alias("ns"), "table", "doc", md.alias("md")))
+
+
 def parse(docs: DataFrame) -> DataFrame:
-    """Add ``ns`` (dot-joined namespace) and ``md`` (parsed metadata)."""
-    return spread(docs).select(F.array_join("namespace", ".").alias("ns"), "table",
-                       F.from_json("doc", TABLE_METADATA)["metadata"].alias("md"))
+    """``ns`` (dot-joined namespace), ``table`` and ``md`` (parsed metadata) of
+    every readable document; :func:`rejects` gives the others."""
+    return _read(docs).where(F.col("md").isNotNull()).select("ns", "table", "md")
+
+
+def rejects(docs: DataFrame) -> DataFrame:
+    """Documents that are no table metadata: unreadable JSON, or none of the
+    fields that every metadata document has."""
+    return _read(docs).where(F.col("md").isNull()).select(F.col("ns").alias("namespace"), "table", "doc")
 
 
 def namespaces(parsed: DataFrame) -> DataFrame:
@@ -105,7 +126,8 @@ def partition_fields(parsed: DataFrame) -> DataFrame:
 
 def snapshots(parsed: DataFrame) -> DataFrame:
     """Snapshot history newest first (TBL-7): ids as text, operation ``—``
-    when missing; current one flagged and rows added per snapshot (TBL-8)."""
+    when missing, the whole summary; current one flagged and rows added per
+    snapshot (TBL-8)."""
     md = F.col("md")
     rows = _explode(parsed, [F.col("ns").alias("namespace"), "table", md["current-snapshot-id"].alias("cur")],
                     md["snapshots"], ("s",))
@@ -118,7 +140,8 @@ def snapshots(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.try_element_at(s["summary"], F.lit("operation")), F.lit("")),
                    F.lit(NO_OPERATION)).alias("operation"),
         F.coalesce(s["snapshot-id"] == F.col("cur"), F.lit(False)).alias("is_current"),
-        F.try_element_at(s["summary"], F.lit("added-records")).try_cast("bigint").alias("added_records"))
+        F.try_element_at(s["summary"], F.lit("added-records")).try_cast("bigint").alias("added_records"),
+        F.coalesce(s["summary"], F.create_map().cast("map<string,string>")).alias("summary"))
     return out.orderBy("namespace", "table", F.col("timestamp_ms").desc_nulls_last())
 
 

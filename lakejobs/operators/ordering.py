@@ -253,7 +253,7 @@ def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str,
     return attach(t, ends, by)
 
 
-# Input tasks up to which a top-n per group is one round.
+# Configured shuffle width up to which a top-n per group is one round.
 TOP_N_FAN_IN = 64
 
 
@@ -263,15 +263,16 @@ def top_n(df: DataFrame, by: list[str], order: list, n: int, fan_in: int = TOP_N
 
     Spark cuts every group to ``n`` rows inside each task before the shuffle
     (window group limit), so the task of one group still receives ``n`` rows
-    from every input task. Above ``fan_in`` input tasks a first round keeps
-    ``n`` rows per group and bucket of input tasks (the map task number, in
-    about sqrt(tasks) buckets); the final task of a group then receives at
-    most ``n * sqrt(tasks)`` rows, and each first-round task as many.
-    ``name`` keeps the row number under that name."""
+    from every input task. In a session set up for shuffles wider than
+    ``fan_in`` a first round keeps ``n`` rows per group and bucket of input
+    tasks (the map task number, in about sqrt(width) buckets); the final task
+    of a group then receives at most ``n * sqrt(width)`` rows. Both forms give
+    the same rows, and choosing runs no job. ``name`` keeps the row number
+    under that name."""
     order = _cols(order)
-    tasks = df.rdd.getNumPartitions()
-    if tasks > fan_in:
-        buckets = math.isqrt(tasks - 1) + 1
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if width > fan_in:
+        buckets = math.isqrt(width - 1) + 1
         first = Window.partitionBy(*by, "_bucket").orderBy(*order)
         df = (df.withColumn("_bucket", F.spark_partition_id() % buckets)
               .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.sources.raw import ingest_time
+from lakejobs.sources.tables import by_partition
 
 SILVER_COLUMNS = ("user_id", "event_type", "search_text", "ingested_at",
                   "processed_at", "ingested_day")
@@ -72,7 +73,7 @@ def publish(df: DataFrame, path: str, partition_by=("ingested_day",),
     """Write a layer as Parquet partitioned by day (SLV-7). Full refresh
     replaces the table; incremental replaces only the days present in ``df``
     (dynamic partition overwrite)."""
-    w = df.write.format("parquet").partitionBy(*partition_by)
+    w = by_partition(df, partition_by).write.format("parquet").partitionBy(*partition_by)
     if incremental:
         w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:
@@ -106,8 +107,7 @@ def gold_user_country(events: DataFrame, customer: DataFrame, nation: DataFrame)
                 .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("amount")))
     joined = (per_user.join(customer.select("c_custkey", "c_nationkey"),
                             per_user.user_id == customer.c_custkey)
-              .join(F.broadcast(nation.select("n_nationkey", "n_name")),
-                    F.col("c_nationkey") == F.col("n_nationkey")))
+              .join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
     return (joined.groupBy(F.col("n_name").alias("country"))
             .agg(F.sum("n").alias("n_events"),
                  F.round(F.sum("amount"), 2).alias("amount"),

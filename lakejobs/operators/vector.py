@@ -2,10 +2,10 @@
 key, exact and approximate top-k similarity search.
 
 Search runs as a partition-local kernel (``mapInPandas``) over the corpus:
-each task scores its rows against a bounded, broadcast block of query
-vectors and keeps only its own best ``k`` per query; a second, tiny stage
-merges those candidates per query. No pair table is ever materialised and
-no query group grows with the corpus.
+each task scores its rows against a bounded, broadcast block of query vectors
+in tiles and keeps its own best ``k`` per query, ties cut by id; a second, tiny
+stage merges those candidates per query. No pair table is ever materialised
+and no query group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -23,24 +22,25 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lakejobs.operators.ordering import top_n
 from lakejobs.session import shared_root
-from lakejobs.sources.tables import spread
+from lakejobs.sources.tables import by_partition, read_if_exists, spread
 
 # ------------------------------------------------------------------ VEC-1
 
 
-def new_text(silver: DataFrame, mark, col: str = "ingested_at", text_col: str = "search_text") -> DataFrame:
-    """Rows after the last published mark (not "today by the clock"), with
-    the vector key: sha-256 of the text (silver has no key of its own)."""
-    out = silver if mark is None else silver.filter(F.col(col) > F.lit(mark))
+def new_text(silver: DataFrame, mark, col: str = "batch_id", text_col: str = "search_text") -> DataFrame:
+    """Rows of ingest batches after the last published one, with the vector
+    key: sha-256 of the text (silver has no key of its own). Batches are what
+    arrives, so rows whose stamp is late, equal to an earlier one or missing
+    are embedded too; rows without a batch count as new."""
+    out = silver if mark is None else silver.filter((F.col(col) > F.lit(mark)) | F.col(col).isNull())
     return out.withColumn("vec_key", F.sha2(F.col(text_col), 256))
 
 
-def last_mark(published: DataFrame, col: str = "ingested_at"):
-    """The mark a run leaves behind: newest stamp among published rows
+def last_mark(published: DataFrame, col: str = "batch_id"):
+    """The mark a run leaves behind: the newest batch among published rows
     (one aggregate; a single value reaches the driver)."""
     return published.agg(F.max(col)).first()[0]
 
@@ -88,127 +88,176 @@ def _embed_with(df, col, encoder, dim, out):
 
 # ------------------------------------------------------------------ VEC-3
 
+# Key buckets of a new table; choose them so that one bucket of the compacted
+# table stays about 1 GB.
 DEFAULT_BUCKETS = 64
+LAYOUT = T.StructType([T.StructField("generation", T.LongType()), T.StructField("buckets", T.IntegerType())])
 
 
 def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
-def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str,
-           version: str, buckets: int = DEFAULT_BUCKETS) -> None:
+def _layout(spark: SparkSession, path: str):
+    """(generation, buckets) of the table, or None when there is none yet.
+    Layout files are only added, never rewritten; the newest counts."""
+    found = read_if_exists(spark, f"{path}/_layout/*", LAYOUT)
+    return None if found is None else found.orderBy(F.col("generation").desc()).first()
+
+
+def _write_layout(spark: SparkSession, path: str, generation: int, buckets: int) -> None:
+    (spark.createDataFrame([(generation, buckets)], LAYOUT).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").parquet(f"{path}/_layout/generation-{generation:06d}"))
+
+
+def _newest(rows: DataFrame, key: str, order) -> DataFrame:
+    """One row per key, the newest by ``order``: partial aggregation, so a key
+    repeated in a third of all rows is reduced inside each task first."""
+    payload = [c for c in rows.columns if c not in (key, "delta", "bucket", "_h")]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*payload), order).alias("r"))
+            .select(key, *[F.col(f"r.{c}").alias(c) for c in payload]))
+
+
+def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str, version: str,
+           buckets: int | None = None, delta: int | None = None) -> None:
     """Insert-or-replace rows by ``key`` in a Parquet table at ``path``.
 
-    The table is partitioned by a hash bucket of the key. Only buckets the
-    updates touch are read, merged (newest ``version`` wins; on equal versions
-    the update wins) and rewritten by dynamic partition overwrite; the merge
-    is a per-key ``max_by`` with partial aggregation. The merged rows are
-    checkpointed to the shared folder before the overwrite, so the write never
-    reads the files it replaces and a lost executor recomputes from there.
-    Applying the same updates twice leaves the table as applying them once.
+    Each change set is written as a partition of its own (``delta``), with one
+    row per key; nothing stored before is read or rewritten, so a failed write
+    can lose nothing and the work follows the size of the change set.
+    :func:`current` reads the newest row of every key (newest ``version``; of
+    equal versions the later change set) and :func:`compact` folds the change
+    sets together. ``delta`` names the change set: writing one again replaces
+    it. By default it is the next number.
+
+    The number of key buckets is stored with the table by the first write; a
+    later write with another one is refused.
     """
-    cols = [c for c in updates.columns if c != "bucket"]
-    # Read twice: for the touched buckets (only the key is computed there,
-    # column pruning drops the payload, e.g. the embedding) and for the merge.
-    upd = updates.select(*cols).withColumn("bucket", _bucket(key, buckets))
-    try:
-        existing = spark.read.parquet(path)
-        exists = True
-    except Exception:  # first write: no table yet
-        exists = False
-    if exists:
-        touched = [r[0] for r in upd.select("bucket").distinct().collect()]  # <= buckets values
-        old = existing.filter(F.col("bucket").isin(touched)).select(*cols, "bucket")
-        both = (old.withColumn("_src", F.lit(0))
-                .unionByName(upd.withColumn("_src", F.lit(1))))
-    else:
-        both = upd.withColumn("_src", F.lit(1))
-    payload = [c for c in cols if c != key]
-    # Per-key merge with map-side partial aggregation (a key repeated in a
-    # third of the change set is reduced inside each task first), then one
-    # exchange on the bucket so every bucket is written by one task (one file
-    # per bucket, no small-file spray). Buckets are hashes of distinct keys,
-    # so they are even; size ``buckets`` so one bucket stays about 1 GB.
-    n_parts = max(1, min(buckets, spark.sparkContext.defaultParallelism * 4))
-    merged = (both.groupBy("bucket", key)
-              .agg(F.max_by(F.struct(*payload), F.struct(F.col(version), F.col("_src"))).alias("r"))
-              .select(key, "r.*", "bucket")
-              .repartition(n_parts, "bucket"))
-    if exists:
-        shared_root(spark)
-        merged = merged.checkpoint(eager=True)
-    (merged.select(*cols, "bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    layout = _layout(spark, path)
+    if layout is None:
+        layout = (0, buckets or DEFAULT_BUCKETS)
+        _write_layout(spark, path, *layout)
+    elif buckets is not None and buckets != layout[1]:
+        raise ValueError(f"the table has {layout[1]} buckets, not {buckets}")
+    generation, n = layout[0], layout[1]
+    target = f"{path}/generation={generation:06d}"
+    if delta is None:
+        stored = read_if_exists(spark, target, T.StructType([T.StructField("delta", T.LongType())]))
+        top = None if stored is None else stored.agg(F.max("delta")).first()[0]
+        delta = 0 if top is None else top + 1
+    # of rows of one key and version the larger hash wins: the same on every replay
+    ranked = updates.withColumn("_h", F.xxhash64(*updates.columns))
+    rows = _newest(ranked, key, F.struct(version, "_h")).withColumn("bucket", _bucket(key, n))
+    _write_delta(rows, f"{target}/delta={int(delta)}")
+
+
+def _write_delta(rows: DataFrame, path: str) -> None:
+    (by_partition(rows, ["bucket"]).sortWithinPartitions("bucket")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path))
+
+
+def current(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
+    """The table as its change sets leave it, one row per key."""
+    layout = _layout(spark, path)
+    if layout is None:
+        raise FileNotFoundError(f"no vector table at {path}")
+    rows = spark.read.parquet(f"{path}/generation={layout[0]:06d}")
+    return _newest(rows, key, F.struct(version, "delta"))
+
+
+def compact(spark: SparkSession, path: str, key: str, version: str) -> None:
+    """Fold all change sets into the first one of a new generation. Readers go
+    on with the old generation until the layout file of the new one is there;
+    a compaction that dies half-way is simply run again."""
+    generation, n = _layout(spark, path)
+    rows = current(spark, path, key, version).withColumn("bucket", _bucket(key, n))
+    _write_delta(rows, f"{path}/generation={generation + 1:06d}/delta=0")
+    _write_layout(spark, path, generation + 1, n)
 
 
 # ------------------------------------------------------------------ VEC-4
 
-# A block of query vectors shipped to every task is at most this many values
-# (rows x dimensions): 4M doubles = 32 MB.
+# A block of query vectors shipped to every task holds at most this many
+# values (rows x (dimensions + probed cells)): 4M doubles = 32 MB.
 MAX_QUERY_VALUES = 4_000_000
+QUERY_TILE = 1024   # queries scored at a time
+ROW_TILE = 2048     # rows scored at a time: 16 MB of scores per tile
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1.0)
 
-def _ship(spark: SparkSession, queries: np.ndarray, qids: np.ndarray, metric: str, probes=None):
+
+def _ship(spark: SparkSession, queries: np.ndarray, qids: np.ndarray, metric: str, by_cell=None):
     """Broadcast one query block (normalised for cosine) to the executors."""
     q = queries.astype(np.float64)
-    if metric == "cosine":
-        qn = np.linalg.norm(q, axis=1, keepdims=True)
-        q = q / np.where(qn > 0, qn, 1.0)
-    return spark.sparkContext.broadcast((qids, q, probes))
+    return spark.sparkContext.broadcast((qids, _unit(q) if metric == "cosine" else q, by_cell))
 
 
 def _kernel(block, k: int, id_col: str, vec_col: str, metric: str, cell_col: str | None = None):
-    """Partition-local top-k: scores every row of the partition against the
-    broadcast query block and keeps, per query, the rows scoring at least the
-    k-th best (ties kept, so the merge is exact)."""
+    """Partition-local top-k: scores the rows of the partition against the
+    broadcast query block, tile by tile, and keeps ``k`` rows per query. Equal
+    scores are cut by the smaller id, so the merge is exact and nothing grows
+    with ties. With ``cell_col``, a row meets only the queries of its cell."""
 
     def run(batches):
-        qids, q, probes = block.value
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(len(qids))]
-        best_sc = [np.empty(0, dtype=np.float64) for _ in range(len(qids))]
+        qids, q, by_cell = block.value
+        best_sc = [np.empty(0)] * len(qids)
+        best_id = [np.empty(0, dtype=np.int64)] * len(qids)
+
+        def score(x, y):
+            if metric == "l2":
+                return -(np.sum(x * x, axis=1)[:, None] - 2.0 * (x @ y.T) + np.sum(y * y, axis=1)[None, :])
+            return x @ y.T
+
+        def keep(j, sc, ids):
+            floor = best_sc[j].min() if len(best_sc[j]) >= k else -np.inf
+            near = sc >= floor
+            if not near.any():
+                return
+            sc, ids = np.concatenate([best_sc[j], sc[near]]), np.concatenate([best_id[j], ids[near]])
+            if len(sc) > k:
+                top = np.lexsort((ids, -sc))[:k]
+                sc, ids = sc[top], ids[top]
+            best_sc[j], best_id[j] = sc, ids
+
+        def meet(ids, x, wanted):
+            for i in range(0, len(ids), ROW_TILE):
+                for t in range(0, len(wanted), QUERY_TILE):
+                    tile = wanted[t:t + QUERY_TILE]
+                    s = score(x[i:i + ROW_TILE], q[tile])
+                    for c, j in enumerate(tile):
+                        keep(j, s[:, c], ids[i:i + ROW_TILE])
+
+        everyone = np.arange(len(qids))
         for pdf in batches:
+            pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
                 continue
             ids = pdf[id_col].to_numpy(dtype=np.int64)
             x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             if metric == "cosine":
-                xn = np.linalg.norm(x, axis=1, keepdims=True)
-                x = x / np.where(xn > 0, xn, 1.0)
-            if metric == "l2":
-                s = -(np.sum(x * x, axis=1)[:, None] - 2.0 * (x @ q.T) + np.sum(q * q, axis=1)[None, :])
-            else:
-                s = x @ q.T
-            cells = pdf[cell_col].to_numpy() if cell_col else None
-            for j in range(len(qids)):
-                sj, ij = s[:, j], ids
-                if cells is not None:
-                    m = np.isin(cells, probes[qids[j]])
-                    sj, ij = sj[m], ij[m]
-                sj = np.concatenate([best_sc[j], sj])
-                ij = np.concatenate([best_ids[j], ij])
-                if len(sj) > k:
-                    kth = np.partition(sj, len(sj) - k)[len(sj) - k]
-                    keep = sj >= kth
-                    sj, ij = sj[keep], ij[keep]
-                best_sc[j], best_ids[j] = sj, ij
-        rows_q, rows_i, rows_s = [], [], []
-        for j, qid in enumerate(qids):
-            rows_q.append(np.full(len(best_ids[j]), qid, dtype=np.int64))
-            rows_i.append(best_ids[j])
-            rows_s.append(best_sc[j])
-        if rows_q:
-            yield pd.DataFrame({"qid": np.concatenate(rows_q), id_col: np.concatenate(rows_i),
-                                "score": np.concatenate(rows_s)})
+                x = _unit(x)
+            if cell_col is None:
+                meet(ids, x, everyone)
+                continue
+            cells = pdf[cell_col].to_numpy()
+            for cell in np.unique(cells):
+                if cell in by_cell:
+                    rows = cells == cell
+                    meet(ids[rows], x[rows], by_cell[cell])
+        yield pd.DataFrame({"qid": np.repeat(qids, [len(x) for x in best_id]),
+                            id_col: np.concatenate(best_id), "score": np.concatenate(best_sc)})
     return run
 
 
 def _merge(cands: DataFrame, k: int, id_col: str) -> DataFrame:
     """Global top-k per query from the per-task candidates (at most k rows
-    per task and query); over many corpus tasks the candidates are first
-    cut per bucket of tasks (:func:`ordering.top_n`)."""
-    ranked = top_n(cands, ["qid"], [F.col("score").desc(), F.col(id_col).asc()], k)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return ranked.withColumn("rank", F.row_number().over(w))
+    per task and query; :func:`ordering.top_n` takes two rounds in a session
+    of many tasks)."""
+    order = [F.col("score").desc(), F.col(id_col).asc()]
+    return top_n(cands, ["qid"], order, k, name="rank").select("qid", id_col, "score", "rank")
 
 
 def _as_arrays(rows):
@@ -216,51 +265,65 @@ def _as_arrays(rows):
             np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
 
 
-def _query_blocks(queries: DataFrame, dim: int, qid_col: str, vec_col: str):
-    """Split the query set into blocks small enough to ship to every task.
+def _query_blocks(queries: DataFrame, qid_col: str, vec_col: str, extra: int = 0):
+    """Split the query set into blocks small enough to ship to every task, by
+    the dimension that the vectors have (and ``extra`` values per query).
 
     One bounded fetch (``limit(per_block + 1)``) answers the common case of a
     set that fits one block. A larger set is first checkpointed to the shared
     folder (so an aggregate that produced it runs once), then fetched block by
-    block by a hash of the query id; the whole set never reaches the driver.
+    block by a hash of the query id. The driver holds one block at a time.
     """
-    per_block = max(1, MAX_QUERY_VALUES // max(dim, 1))
-    q = queries.select(qid_col, vec_col)
+    q = queries.select(qid_col, vec_col).where(F.col(vec_col).isNotNull())
+    dim = q.agg(F.max(F.size(vec_col))).first()[0]
+    if dim is None:
+        return
+    per_block = max(1, MAX_QUERY_VALUES // (dim + extra))
     first = q.limit(per_block + 1).collect()
     if len(first) <= per_block:
-        if first:
-            yield _as_arrays(first)
+        yield _as_arrays(first)
         return
     shared_root(q.sparkSession)
     q = q.checkpoint(eager=True)
-    nblocks = max(2, math.ceil(q.count() / per_block))
+    nblocks = 2 * math.ceil(q.count() / per_block)  # hashed blocks differ in size
     for b in range(nblocks):
         rows = q.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nblocks)) == b).collect()
-        if rows:
-            yield _as_arrays(rows)
+        for i in range(0, len(rows), per_block):
+            yield _as_arrays(rows[i:i + per_block])
+
+
+def _search(spark: SparkSession, blocks, task, k: int, id_col: str) -> DataFrame:
+    """Answer one query block after the other. A single block stays lazy; of
+    several, each answer (k rows per query) is stored before the next block is
+    fetched."""
+    done, last = [], None
+    for block in blocks:
+        if last is not None:
+            done.append(last.checkpoint(eager=True))
+        last = _merge(task(*block), k, id_col)
+    if last is None:
+        return spark.createDataFrame([], f"qid long, {id_col} long, score double, rank int")
+    for d in done:
+        last = last.unionByName(d)
+    return last
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
-          id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "qid",
-          dim: int = DEFAULT_DIM) -> DataFrame:
+          id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "qid") -> DataFrame:
     """Exact top-k per query: ``(qid, id, rank, score)``, ties by id.
 
     ``metric``: cosine (default), dot, or l2 (score = minus squared distance).
     Queries above the broadcast bound are processed block by block; every
-    block is one scan of the corpus.
+    block is one scan of the corpus. Rows without a vector are never found.
     """
     spark = corpus.sparkSession
-    out_schema = f"qid long, {id_col} long, score double"
-    parts = []
-    for qids, qv in _query_blocks(queries, dim, qid_col, vec_col):
-        kern = _kernel(_ship(spark, qv, qids, metric), k, id_col, vec_col, metric)
-        parts.append(spread(corpus.select(id_col, vec_col)).mapInPandas(kern, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return _merge(cands, k, id_col)
+    shared_root(spark)
+    source = spread(corpus.select(id_col, vec_col))
+
+    def task(qids, qv):
+        return source.mapInPandas(_kernel(_ship(spark, qv, qids, metric), k, id_col, vec_col, metric),
+                                  f"qid long, {id_col} long, score double")
+    return _search(spark, _query_blocks(queries, qid_col, vec_col), task, k, id_col)
 
 
 def centroids(df: DataFrame, by: str, vec_col: str = "embedding") -> DataFrame:
@@ -272,9 +335,6 @@ def centroids(df: DataFrame, by: str, vec_col: str = "embedding") -> DataFrame:
 
 # ------------------------------------------------------------------ VEC-5
 
-# Default cell count is sqrt(corpus size) up to this many cells; the centres
-# (cells x dim doubles) are what a search keeps on the driver.
-MAX_DEFAULT_CELLS = 16_384
 PROBE_CHUNK = 1024  # queries per chunk when choosing cells (chunk x cells distances)
 
 
@@ -290,45 +350,45 @@ def _nearest_cells(qv: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarr
     return np.concatenate(out) if out else np.empty((0, nprobe), dtype=np.int64)
 
 
-def build_ivf(corpus: DataFrame, path: str, n_cells: int | None = None, seed: int = 7,
-              id_col: str = "vec_id", vec_col: str = "embedding", max_iter: int = 20) -> dict:
-    """Coarse index for approximate search: k-means cells over the corpus
-    (distributed training), every vector stored in the folder of its cell, so
-    a search reads only the cells it probes (partition pruning). Returns the
+def build_ivf(corpus: DataFrame, path: str, n_cells: int, seed: int = 7, id_col: str = "vec_id",
+              vec_col: str = "embedding", max_iter: int = 20, train_rows: int = 1_000_000) -> dict:
+    """Coarse index for approximate search: k-means cells (distributed
+    training), every vector stored in the folder of its cell, so a search reads
+    only the cells it probes (partition pruning). The centres are fitted on
+    about ``train_rows`` sampled vectors; all vectors are indexed. Returns the
     index description: cell centres (n_cells x dim, small) and the path."""
-    n = corpus.count()
-    cells = n_cells or max(2, min(MAX_DEFAULT_CELLS, int(math.sqrt(n))))
-    feats = (spread(corpus.select(id_col, vec_col)).withColumn("_f", array_to_vector(vec_col))
-             .persist(StorageLevel.MEMORY_AND_DISK))       # k-means passes over it many times
-    try:
-        km = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
-        (km.transform(feats).select(id_col, vec_col, "cell")
-         .write.mode("overwrite").partitionBy("cell").parquet(path))
-    finally:
-        feats.unpersist()
+    feats = spread(corpus.select(id_col, vec_col)).where(F.col(vec_col).isNotNull()).withColumn(
+        "_f", array_to_vector(vec_col))
+    n = feats.count()
+    sample = feats if n <= train_rows else feats.sample(fraction=train_rows / n, seed=seed)
+    shared_root(corpus.sparkSession)
+    sample = sample.select("_f").checkpoint(eager=True)    # k-means passes over it many times
+    km = KMeans(k=n_cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(sample)
+    (by_partition(km.transform(feats).select(id_col, vec_col, "cell"), ["cell"])
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cell").parquet(path))
     return {"path": path, "centers": np.array(km.clusterCenters())}
 
 
-def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, k: int = 10,
-                 nprobe: int | None = None, metric: str = "cosine", id_col: str = "vec_id",
-                 vec_col: str = "embedding", qid_col: str = "qid", dim: int = DEFAULT_DIM) -> DataFrame:
-    """Approximate top-k: each query probes its ``nprobe`` nearest cells and
-    scores only the vectors there, exactly; cells nobody probes are not read.
-    ``nprobe`` defaults to half the cells: embeddings without cluster
-    structure need that many for a recall near 0.9; clustered ones need far
-    fewer."""
+def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, nprobe: int, k: int = 10,
+                 metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding",
+                 qid_col: str = "qid") -> DataFrame:
+    """Approximate top-k: each query probes its ``nprobe`` nearest cells, whose
+    vectors are scored exactly, each against the queries of its cell only.
+    Cells nobody probes are not read; a big cell is read by many tasks.
+
+    ``nprobe`` trades recall for work and is the caller's choice: with all
+    cells the answer is exact; embeddings without cluster structure need many
+    cells, clustered ones few."""
     centers = index["centers"]
-    nprobe = nprobe or max(1, len(centers) // 2)
-    out_schema = f"qid long, {id_col} long, score double"
-    parts = []
-    for qids, qv in _query_blocks(queries, dim, qid_col, vec_col):
-        order = _nearest_cells(qv, centers, nprobe)
-        probes = {int(q): order[i] for i, q in enumerate(qids)}
-        wanted = sorted({int(c) for row in order for c in row})
-        scan = spark.read.parquet(index["path"]).filter(F.col("cell").isin(wanted))
-        kern = _kernel(_ship(spark, qv, qids, metric, probes), k, id_col, vec_col, metric, cell_col="cell")
-        parts.append(scan.select(id_col, vec_col, "cell").mapInPandas(kern, out_schema))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return _merge(cands, k, id_col)
+    nprobe = min(nprobe, len(centers))
+
+    def task(qids, qv):
+        cells = _nearest_cells(qv, centers, nprobe)
+        flat, who = cells.ravel(), np.repeat(np.arange(len(qids)), cells.shape[1])
+        order = np.argsort(flat, kind="stable")
+        wanted, starts = np.unique(flat[order], return_index=True)
+        by_cell = dict(zip(wanted.tolist(), np.split(who[order], starts[1:])))
+        scan = spark.read.parquet(index["path"]).filter(F.col("cell").isin(wanted.tolist()))
+        kern = _kernel(_ship(spark, qv, qids, metric, by_cell), k, id_col, vec_col, metric, cell_col="cell")
+        return scan.select(id_col, vec_col, "cell").mapInPandas(kern, f"qid long, {id_col} long, score double")
+    return _search(spark, _query_blocks(queries, qid_col, vec_col, extra=nprobe), task, k, id_col)

@@ -20,7 +20,8 @@ PROPERTY_FILES = """
 SELECT concat('cat_', CAST(s_suppkey AS STRING)) AS name,
        concat_ws(chr(10),
          CASE s_nationkey % 5 WHEN 0 THEN 'connector.name=iceberg' WHEN 1 THEN 'connector.name=hive'
-              WHEN 2 THEN 'connector.name=postgresql' WHEN 3 THEN 'connector.name = mysql' END,
+              WHEN 2 THEN 'connector.name=postgresql' WHEN 3 THEN 'connector.name = mysql'
+              ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'connector.name= ' END END,
          concat('# owner ', s_name),
          '',
          concat('  s3.endpoint = http://store-', CAST(s_nationkey AS STRING), ':9000  '),
@@ -68,7 +69,7 @@ kv AS (SELECT name, pos,
               regexp_replace(substr(line, strpos(line, '=') + 1), '^\\s+|\\s+$', '', 'g') AS value
        FROM t WHERE line <> '' AND NOT starts_with(line, '#') AND strpos(line, '=') > 1),
 props AS (SELECT name, key, arg_max(value, pos) AS value FROM kv GROUP BY name, key),
-cats AS (SELECT f.name, coalesce(max(CASE WHEN p.key = 'connector.name' THEN p.value END), 'unknown') AS connector
+cats AS (SELECT f.name, coalesce(nullif(max(CASE WHEN p.key = 'connector.name' THEN p.value END), ''), 'unknown') AS connector
          FROM f LEFT JOIN props p ON p.name = f.name GROUP BY f.name)"""
 
 CFG_ORACLE = {
@@ -158,14 +159,29 @@ def metadata_docs(spark, sf_dir):
         F.when(n > 0, F.when(n == 1, sid(1)).otherwise(sid(2))).alias("current-snapshot-id"),
         snaps.alias("snapshots"), props.alias("properties"))
     ns = F.when(k % 3 == 0, F.array(F.lit("lake"), F.col("ptype"))).otherwise(F.array(F.col("ptype")))
-    return r.select(ns.alias("namespace"), F.col("tbl").alias("table"),
-                    F.to_json(F.struct(md.alias("metadata"))).alias("doc"))
+    # every second document lies bare in its file, the others come wrapped
+    doc = F.when(k % 2 == 0, F.to_json(md)).otherwise(F.to_json(F.struct(md.alias("metadata"))))
+    return r.select(ns.alias("namespace"), F.col("tbl").alias("table"), doc.alias("doc"))
+
+
+def broken_docs(spark, sf_dir):
+    """The documents with every seventh cut off and every eleventh of another kind."""
+    k = F.regexp_extract("doc", r'uuid-(\d+)', 1).cast("long")
+    return metadata_docs(spark, sf_dir).withColumn(
+        "doc", F.when(k % 7 == 0, F.concat(F.lit('{"metadata": {"location": "x'), k.cast("string")))
+        .when(k % 11 == 0, F.concat(F.lit('{"kind": "'), k.cast("string"), F.lit('"}'))).otherwise(F.col("doc")))
 
 
 def _parsed(spark, sf_dir):
     return M.parse(metadata_docs(spark, sf_dir))
 
 
+def q_tbl_snapshots(spark, sf_dir):
+    """Snapshots, the summary as sorted ``key=value`` text."""
+    pairs = F.transform(F.map_entries("summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return M.snapshots(_parsed(spark, sf_dir)).withColumn("summary", F.array_join(F.array_sort(pairs), ","))
+
+
 QUERIES = {
     "cfg_props": q_cfg_props,
     "cfg_redact": q_cfg_redact,
@@ -175,7 +191,8 @@ QUERIES = {
     "tbl_listing": lambda spark, d: M.tables(_parsed(spark, d)),
     "tbl_fields": lambda spark, d: M.current_fields(_parsed(spark, d)),
     "tbl_partitions": lambda spark, d: M.partition_fields(_parsed(spark, d)),
-    "tbl_snapshots": lambda spark, d: M.snapshots(_parsed(spark, d)),
+    "tbl_snapshots": q_tbl_snapshots,
+    "tbl_rejects": lambda spark, d: M.rejects(broken_docs(spark, d)),
     "tbl_metrics": lambda spark, d: M.table_metrics(_parsed(spark, d)),
     "tbl_properties": lambda spark, d: M.properties(_parsed(spark, d)),
     "tbl_identity": lambda spark, d: M.identity(_parsed(spark, d)),
@@ -220,8 +237,15 @@ SELECT namespace, tbl AS "table", CAST(k * 1000 + i + big AS VARCHAR) AS snapsho
        CASE WHEN i > 1 THEN CAST(k * 1000 + i - 1 + big AS VARCHAR) END AS parent_id,
        {TS0} + k * 10 + i AS timestamp_ms,
        CASE WHEN i = 2 AND s % 2 = 0 THEN '—' ELSE 'append' END AS operation,
-       i = n AS is_current, CAST(s * i AS BIGINT) AS added_records
+       i = n AS is_current, CAST(s * i AS BIGINT) AS added_records,
+       concat_ws(',', 'added-records=' || s * i, CASE WHEN NOT (i = 2 AND s % 2 = 0) THEN 'operation=append' END,
+                 'total-data-files=' || i, CASE WHEN k % 13 <> 0 THEN 'total-files-size=' || i * 4096 END,
+                 'total-records=' || s * i) AS summary
 FROM sn""",
+    "tbl_rejects": f"""{_T}
+SELECT namespace, tbl AS "table", CASE WHEN k % 7 = 0 THEN '{{"metadata": {{"location": "x' || k
+                                       ELSE '{{"kind": "' || k || '"}}' END AS doc
+FROM t WHERE k % 7 = 0 OR k % 11 = 0""",
     "tbl_metrics": f"""{_T}
 SELECT namespace, tbl AS "table",
        CASE WHEN n > 0 THEN CAST(s * n AS BIGINT) END AS total_records,

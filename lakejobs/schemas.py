@@ -9,16 +9,23 @@ RAW_USER_EVENT = T.StructType([
     T.StructField("user_id", T.StringType()),
     T.StructField("event", T.StringType()),
     T.StructField("content", T.StringType()),
-    T.StructField("ingested_at", T.TimestampNTZType()),
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
+# The same record in bronze: stamped by the ingest, with its batch.
+BRONZE_USER_EVENT = T.StructType([
+    *RAW_USER_EVENT.fields,
+    T.StructField("ingested_at", T.TimestampNTZType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
 SILVER_USER_EVENT = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()),
     T.StructField("search_text", T.StringType()),
     T.StructField("ingested_at", T.TimestampNTZType()),
     T.StructField("processed_at", T.TimestampType()),
+    T.StructField("batch_id", T.LongType()),
     T.StructField("ingested_day", T.DateType()),
 ])
 
@@ -110,18 +117,16 @@ _SNAPSHOT = T.StructType([
     T.StructField("timestamp-ms", T.LongType()),
     T.StructField("summary", T.MapType(T.StringType(), T.StringType())),
 ])
-TABLE_METADATA = T.StructType([
-    T.StructField("metadata", T.StructType([
-        T.StructField("format-version", T.IntegerType()),
-        T.StructField("table-uuid", T.StringType()),
-        T.StructField("location", T.StringType()),
-        T.StructField("current-schema-id", T.LongType()),
-        T.StructField("schemas", T.ArrayType(_SCHEMA)),
-        T.StructField("schema", _SCHEMA),
-        T.StructField("default-spec-id", T.LongType()),
-        T.StructField("partition-specs", T.ArrayType(_SPEC)),
-        T.StructField("current-snapshot-id", T.LongType()),
-        T.StructField("snapshots", T.ArrayType(_SNAPSHOT)),
-        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-    ])),
+METADATA_FIELDS = T.StructType([
+    T.StructField("format-version", T.IntegerType()),
+    T.StructField("table-uuid", T.StringType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("current-schema-id", T.LongType()),
+    T.StructField("schemas", T.ArrayType(_SCHEMA)),
+    T.StructField("schema", _SCHEMA),
+    T.StructField("default-spec-id", T.LongType()),
+    T.StructField("partition-specs", T.ArrayType(_SPEC)),
+    T.StructField("current-snapshot-id", T.LongType()),
+    T.StructField("snapshots", T.ArrayType(_SNAPSHOT)),
+    T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
 ])

@@ -2,18 +2,23 @@
 
 The library never invents a machine-local scratch folder on a cluster: all
 intermediate tables, streaming checkpoints and reliable RDD checkpoints live
-under the folder the cluster names in ``spark.checkpoint.dir``. Only when that
-setting is absent (local runs, tests) do we create one of our own.
+under the folder the cluster names in ``spark.checkpoint.dir``. Where that
+setting is absent, a local master (tests, local runs) gets a folder of its
+own, and any other master is an error. Working folders of an application are
+removed when it ends.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_REGISTERED: set[str] = set()
+
 # Settings every job relies on. Kept in one place so the test session, the
 # bench and a cluster submit agree.
 BASE_CONF = {
@@ -75,12 +80,15 @@ def pin_conf(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The shared working folder: ``spark.checkpoint.dir`` when the cluster
-    sets it, otherwise (tests, local runs) a folder we create and register."""
+    sets it, otherwise, with a local master only, a folder we create and
+    register."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="lakejobs-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
@@ -88,5 +96,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared root for one run of one job."""
-    return f"{shared_root(spark)}/lakejobs/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder under the shared root for one run of one job. It
+    lies in the application's own folder, which is removed when the
+    application ends: results that must outlive it belong elsewhere."""
+    own = f"{shared_root(spark)}/lakejobs/{spark.sparkContext.applicationId}"
+    if own not in _REGISTERED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _REGISTERED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"

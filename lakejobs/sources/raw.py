@@ -52,7 +52,6 @@ def ingest_time(as_of: str | _dt.datetime | None = None) -> Column:
 
 
 def stamp_ingest(df: DataFrame, as_of=None, col: str = "ingested_at") -> DataFrame:
-    """Add the ingest stamp unless the record already carries one (ING-3)."""
-    if col in df.columns:
-        return df
-    return df.withColumn(col, ingest_time(as_of))
+    """Set the ingest stamp (ING-3). Every record gets it, also one that brings
+    a field of that name along: the stamp says when we took it."""
+    return df.withColumn(col, ingest_time(as_of).cast(T.TimestampNTZType()))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -15,19 +17,36 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A table held in one small file with one row group is read by a single
     task, and everything up to the first shuffle stays on that task. When the
-    scan yields fewer splits than the session has cores, rows are hashed on
+    input has fewer files than the session has cores, rows are hashed on
     their row id over all cores: no sort (unlike round-robin) and no column
-    reference, so column pruning still reaches the scan. A large table already
-    has more splits than cores and is returned untouched (no extra shuffle at
-    scale). Counting splits plans the scan but runs nothing.
+    reference, so column pruning still reaches the scan. A large table has
+    more files than that and is returned untouched (no extra shuffle at
+    scale). Listing files runs no job.
     """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < target:
+        return df.repartition(target, F.monotonically_increasing_id())
+    return df
+
+
+def read_if_exists(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """A Parquet table, or None when there is no such path. Any other failure
+    is an error: an unreadable table is not an absent one. With a declared
+    schema, a table that holds no file yet reads as empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target, F.monotonically_increasing_id())
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def by_partition(df: DataFrame, cols) -> DataFrame:
+    """Rows dealt out by partition value before a partitioned write, so that a
+    value is written by one task, not by all; AQE splits large values and
+    merges small ones."""
+    return df.hint("rebalance", *[F.col(c) for c in cols]) if cols else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
@@ -66,7 +85,7 @@ def ensure_namespace(spark: SparkSession, ns: str, location: str | None = None)
 def append_table(df: DataFrame, name: str, partition_by=()) -> None:
     """Append, creating the table on first write (ING-5). Later appends go by
     name through ``insertInto``-free ``saveAsTable`` so columns match by name."""
-    w = df.write.mode("append").format("parquet")
+    w = by_partition(df, partition_by).write.mode("append").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from lakejobs.operators.telemetry import grep
 from lakejobs.schemas import LOG_LINE
 from lakejobs.sources.raw import JSON_OPTIONS
-from lakejobs.streaming.ingest import write_batch
+from lakejobs.streaming.ingest import FILES_PER_BATCH, write_batch
 
 
-def log_stream(spark: SparkSession, path: str, schema=LOG_LINE, max_files_per_batch=None) -> DataFrame:
-    r = spark.readStream.schema(schema).options(**JSON_OPTIONS)
-    if max_files_per_batch:
-        r = r.option("maxFilesPerTrigger", max_files_per_batch)
-    return r.json(path)
+def log_stream(spark: SparkSession, path: str, schema=LOG_LINE, max_files_per_batch=FILES_PER_BATCH) -> DataFrame:
+    return (spark.readStream.schema(schema).options(**JSON_OPTIONS)
+            .option("maxFilesPerTrigger", max_files_per_batch).json(path))
 
 
 def follow(spark: SparkSession, path: str, checkpoint: str, sink_path: str,
@@ -43,8 +41,8 @@ def rate(stream: DataFrame, every: str = "1 hour", late: str = "1 hour",
          ts_col: str = "ts", by: str = "level") -> DataFrame:
     """Count per event-time window and ``by`` value. Watermarks need a zoned
     timestamp, so the NTZ stamp is read as UTC; a row later than ``late``
-    behind the newest stamp seen is dropped, and a window is emitted once the
-    watermark passes its end (append mode)."""
+    behind the newest stamp of an earlier batch is dropped. In update mode a
+    window comes out again whenever its count grows."""
     ts = F.col(ts_col).cast("timestamp")
     return (stream.withColumn("_et", ts)
             .withWatermark("_et", late)
@@ -55,11 +53,20 @@ def rate(stream: DataFrame, every: str = "1 hour", late: str = "1 hour",
 
 
 def run_rate(spark: SparkSession, path: str, checkpoint: str, sink_path: str,
-             every: str = "1 hour", late: str = "1 hour"):
-    stream = log_stream(spark, path).withColumn("level", level_of())
-    q = (rate(stream, every, late).writeStream.outputMode("append")
+             every: str = "1 hour", late: str = "1 hour", max_files_per_batch=FILES_PER_BATCH):
+    """Work off the files present and store every count that changed, windows
+    still open included; :func:`read_rate` gives the newest count of each.
+    Files should arrive in the order of time, as late rows go by batch."""
+    stream = log_stream(spark, path, max_files_per_batch=max_files_per_batch).withColumn("level", level_of())
+    q = (rate(stream, every, late).writeStream.outputMode("update")
          .foreachBatch(lambda df, bid: write_batch(df, bid, sink_path))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def read_rate(spark: SparkSession, sink_path: str, by: str = "level") -> DataFrame:
+    """One row per window and ``by`` value: the count of the last batch wins."""
+    return (spark.read.parquet(sink_path).groupBy("window_start", "window_end", by)
+            .agg(F.max_by("n", "batch_id").alias("n")))
