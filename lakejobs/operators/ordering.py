@@ -17,7 +17,7 @@ without such a task:
 * Where a group starts, or the first position of an order value, is a
   partial aggregate (``min``), so a hot group costs one row per task before
   its shuffle.
-* Neighbours (``lag``/``lead``) are equi-joins on position, a unique key.
+* Neighbours (``lag``/``lead``) are windows over blocks of positions.
 """
 
 from __future__ import annotations
@@ -179,20 +179,30 @@ def _running_sums(t: DataFrame, cols: dict[str, str]) -> DataFrame:
     """Inclusive running sums ``{column: out_name}`` over the position order.
 
     The order is cut into blocks of ``RUN_BLOCK`` consecutive positions; each
-    block is summed as a window over that block only (bounded size), and the
-    totals of earlier blocks (one row per block) are added."""
-    blk = F.floor((F.col(POS) - 1) / RUN_BLOCK).cast("long")
-    t = t.withColumn("_blk", blk)
+    block is summed as a window over that block only (bounded size). The
+    totals of earlier blocks come from the same step one level up, over blocks
+    of blocks; what is left there (one row per ``RUN_BLOCK`` squared positions)
+    is summed once and stored, so no stage of the result runs in one task."""
+    spark = t.sparkSession
+    t = t.withColumn("_blk", F.floor((F.col(POS) - 1) / RUN_BLOCK).cast("long"))
     inside = Window.partitionBy("_blk").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     t = t.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for c, n in cols.items()])
-    tot = t.groupBy("_blk").agg(*[F.sum(c).alias(f"_bt_{n}") for c, n in cols.items()])
-    tot = tot.select("_blk", *[F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0)).alias(f"_bo_{n}")
-                               for n in cols.values()])
-    tot, _ = bounded_broadcast(tot)
+    tot = (t.groupBy("_blk").agg(*[F.sum(c).alias(f"_bt_{n}") for c, n in cols.items()])
+           .withColumn("_sup", F.floor(F.col("_blk") / RUN_BLOCK).cast("long")))
+    path = work_dir(spark, "running-sums")
+    before = Window.orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
+    (tot.groupBy("_sup").agg(*[F.sum(f"_bt_{n}").alias(f"_bt_{n}") for n in cols.values()])
+     .select("_sup", *[F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0)).alias(f"_so_{n}") for n in cols.values()])
+     .write.parquet(path))
+    sup, _ = bounded_broadcast(spark.read.parquet(path))
+    earlier = Window.partitionBy("_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = (tot.select("_blk", "_sup", *[F.coalesce(F.sum(f"_bt_{n}").over(earlier), F.lit(0)).alias(f"_bo_{n}")
+                                        for n in cols.values()])
+           .join(sup, "_sup").drop("_sup"))
     t = t.join(tot, "_blk")
     for n in cols.values():
-        t = t.withColumn(n, F.col(f"_in_{n}") + F.col(f"_bo_{n}")).drop(f"_in_{n}", f"_bo_{n}")
+        t = t.withColumn(n, F.col(f"_in_{n}") + F.col(f"_bo_{n}") + F.col(f"_so_{n}")).drop(
+            f"_in_{n}", f"_bo_{n}", f"_so_{n}")
     return t.drop("_blk")
 
 
@@ -228,18 +238,32 @@ def range_frame(df: DataFrame, by: list[str], key: str, lo: int, hi: int, value:
 def neighbours(t: DataFrame, by: list[str], wanted: dict[str, tuple[str, int]]) -> DataFrame:
     """Values of other rows of the same group by offset in the position
     order: ``wanted = {out_name: (column, offset)}``, offset -1 is ``lag``,
-    +2 is ``lead(…, 2)``. Missing neighbours (group edge) give null. Each
-    offset is a left join on position, a unique key, so no key is hot."""
-    out = t
-    for i, (name, (col, off)) in enumerate(wanted.items()):
-        other = t.select((F.col(POS) - off).alias(f"_p{i}"),
-                         *[F.col(k).alias(f"_g{i}_{k}") for k in by],
-                         F.col(col).alias(name))
-        cond = F.col(POS) == F.col(f"_p{i}")
+    +2 is ``lead(…, 2)``. Missing neighbours (group edge) give null.
+
+    The order is cut into blocks of ``RUN_BLOCK`` positions; the few rows at a
+    block's edges are copied into the next block, and one window per block
+    answers all offsets: one exchange, and no key is hot."""
+    reach = max(abs(off) for _, off in wanted.values())
+    if reach >= RUN_BLOCK:
+        raise ValueError("an offset must be smaller than a block")
+    at = F.col(POS) - 1
+    block = F.floor(at / RUN_BLOCK).cast("long")
+    inside = F.pmod(at, F.lit(RUN_BLOCK))
+    none = F.lit(None).cast("long")
+    homes = F.array_compact(F.array(block, F.when(inside >= RUN_BLOCK - reach, block + 1).otherwise(none),
+                                    F.when(inside < reach, block - 1).otherwise(none)))
+    rows = t.withColumn("_own", block).withColumn("_home", F.explode(homes))
+    w = Window.partitionBy("_home").orderBy(POS)
+
+    def neighbour(col, off):
+        moved = (lambda c: F.lag(c, -off)) if off < 0 else (lambda c: F.lead(c, off))
+        same = F.lit(True)
         for k in by:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_g{i}_{k}"))
-        out = out.join(other, cond, "left").drop(f"_p{i}", *[f"_g{i}_{k}" for k in by])
-    return out
+            same = same & moved(F.col(k)).over(w).eqNullSafe(F.col(k))
+        there = moved(F.col(POS)).over(w).isNotNull()
+        return F.when(there & same, moved(F.col(col)).over(w))
+    out = rows.select(*t.columns, "_own", "_home", *[neighbour(c, o).alias(n) for n, (c, o) in wanted.items()])
+    return out.where("_own = _home").drop("_own", "_home")
 
 
 def first_last(t: DataFrame, by: list[str], col: str, first: str, last: str,

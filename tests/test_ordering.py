@@ -156,12 +156,25 @@ def test_split_hot_by_sample_keeps_every_row(skewed):
     assert hot.count() == n_hot and cold.count() == total - n_hot
 
 
-def test_sorted_path_has_no_single_task_stage(spark, sf_dir):
-    """With every customer hot, the executed plan of ``sql_lag`` reads the
-    stored positions and offsets: no exchange gathers rows into one task
-    (the window branch for the remaining customers is planned but empty)."""
+@pytest.mark.parametrize("query", ["q_sql_rank", "q_sql_lag", "q_sql_frame"])
+def test_sorted_path_has_no_single_task_stage(spark, sf_dir, query):
+    """With every group hot, the plan reads the stored positions, offsets and
+    sums: no exchange gathers rows into one task (the window branch for the
+    remaining groups is planned but empty)."""
     from lakejobs.plans import conformance
-    df = conformance.q_sql_lag(spark, sf_dir, hot_rows=0)
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    df = getattr(conformance, query)(spark, sf_dir, hot_rows=0)
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_blocks_give_the_same_rows(spark, sf_dir, monkeypatch):
+    """Neighbours and running sums across many block edges, at both levels."""
+    from lakejobs.plans import conformance
+    cols = {"q_sql_lag": ["o_orderkey", "prev_total", "next2_key", "first_key", "last_key"],
+            "q_sql_frame": ["event_id", "sum_last3", "avg_near_cents", "n_so_far"],
+            "q_sql_rank": ["c_custkey", "rn", "rk", "drk", "quartile"]}
+    for query, out in cols.items():
+        q = getattr(conformance, query)
+        want = q(spark, sf_dir).select(*out)
+        monkeypatch.setattr(O, "RUN_BLOCK", 5)
+        _same(q(spark, sf_dir, hot_rows=0), want, out)
+        monkeypatch.undo()
