@@ -25,8 +25,9 @@ HEADLINE = [
     "sql_subquery", "sql_array",
     "obs_usage", "obs_readiness", "obs_service_status", "obs_events", "obs_tail",
     "cfg_props", "tbl_fields", "tbl_partitions",
-    "vector_embed", "vector_topk", "vector_upsert",
-    "ingest_replay", "pipeline_run", "obs_rate",
+    "vector_embed", "vector_topk", "vector_topk_approx", "vector_upsert",
+    "ingest_replay", "pipeline_run", "obs_rate", "obs_follow", "obs_export", "obs_pods",
+    "sql_rank", "sql_frame", "external_files",
 ]
 
 
