@@ -81,6 +81,14 @@ def test_removal_and_empty_tables(spark, docs):
     assert D.find_contamination(docs([]), bench).count() == 0
 
 
+def test_coverage_limit_is_exact(spark, docs):
+    """Exactly a twentieth of the words counts, whatever their number."""
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(7)))], "item_id long, text string")
+    rows = [(n, " ".join([f"q{i}" for i in range(7)] + ["x"] * (n - 7))) for n in (139, 140, 141)]
+    got = {r.doc_id: r.contaminated for r in D.find_contamination(docs(rows), bench).collect()}
+    assert got == {139: True, 140: True, 141: False}
+
+
 def test_capacities_and_packing_are_exact():
     r = random.Random(4)
     for _ in range(300):
