@@ -254,8 +254,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                        F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
                        F.coalesce("items", F.array().cast("array<bigint>")).alias("items")))
     # a quotient rounds to the very double that a decimal limit is, a product may not
-    share = n_hit() / F.nullif(F.col("n_words"), F.lit(0))
-    return out.withColumn("contaminated", (n_hit() > 0) & (share >= coverage))
+    covered = n_hit() / F.nullif(F.col("n_words"), F.lit(0))
+    return out.withColumn("contaminated", (n_hit() > 0) & (covered >= coverage))
 
 
 def n_hit():
