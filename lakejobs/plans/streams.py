@@ -14,7 +14,7 @@ from lakejobs.session import pin_conf, work_dir
 from lakejobs.sources.raw import read_raw, stamp_ingest, write_raw
 from lakejobs.sources.external import read_external, write_external
 from lakejobs.sources.tables import (append_table, drop_table, ensure_namespace,
-                                     read_table, seed_if_empty)
+                                     read_if_exists, read_table, seed_if_empty)
 from lakejobs.streaming.ingest import ingest_incremental
 from lakejobs.streaming.logs import follow, read_rate, run_rate
 
@@ -132,6 +132,8 @@ def q_seed_once(spark, sf_dir):
         raise RuntimeError(f"seeding was not write-once: {wrote}")
     seed_if_empty(spark, f"{ns}.scratch", USER_COLUMNS, users)
     drop_table(spark, f"{ns}.scratch")
+    if read_if_exists(spark, f"{base}/scratch", spark.table(f"{ns}.users").schema) is not None:
+        raise RuntimeError("the dropped table left its files")
     return spark.sql(f"""
         SELECT e.event_type, count(*) AS n, round(sum(e.amount), 2) AS amount,
                count(DISTINCT u.country) AS n_countries
