@@ -1,5 +1,3 @@
-import datetime  # noqa: F401
-
 import pytest
 from pyspark.sql import types as T
 
