@@ -219,5 +219,6 @@ def target_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             .where("__id is not null").distinct())
     # rows without an id would all meet in one task, so they are spread by text
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64("text"))
-    joined = docs.join(good, (key == F.col("__id")) & F.col(id_col).isNotNull(), "left")
+    # labels grow with the documents: one plan at every size, never a broadcast
+    joined = docs.join(good.hint("merge"), (key == F.col("__id")) & F.col(id_col).isNotNull(), "left")
     return joined.withColumn("target", F.col("__id").isNotNull()).drop("__id")
