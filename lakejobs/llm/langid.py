@@ -23,6 +23,7 @@ DIM = 1 << 15
 MAX_DOCS = 6_000
 CALIBRATION = 5  # every fifth sampled document sets the temperature
 CHUNK = 1 << 20
+HASH_PLACES = 1 << 40
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -130,12 +131,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = (docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
              .where(remainder(id_col, holdout[0]) != holdout[1])
              .select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), raw(text_col).alias("t")))
-    n = known.select("lang").distinct().count()
-    if not n:
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), np.ones(DIM), 1.0)
-    # the rank is limited per task before the shuffle, so a language of any size is fine
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("r", rank).where(F.col("r") <= max(1, max_docs // n)).select("id")
+    each = max(1, max_docs // len(sizes))
+    # about four times the wanted documents of each language reach its ranking, however many it has
+    share_of = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * each / n))])
+    place = F.pmod(F.xxhash64("id"), F.lit(HASH_PLACES)) / HASH_PLACES
+    near = known.select("id", "lang", place.alias("p")).where(F.col("p") <= share_of[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("p", "id"))
+    chosen = near.withColumn("r", rank).where(F.col("r") <= each).select("id")
     got = known.join(F.broadcast(chosen.distinct()), "id").orderBy(F.xxhash64("id"), "id").toLocalIterator()
     pairs = [(bytes(r.t).decode("utf-8", "replace"), r.lang) for r in got]
     return fit([t for t, _ in pairs], [x for _, x in pairs])
