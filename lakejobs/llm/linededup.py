@@ -195,8 +195,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = cut(held.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("text"))
                    .mapInArrow(_suspects(bitmap, min_chars, filter_bits), "doc long, key binary"))
     # one row per key after map-side combining, also for a key of a third of the documents
-    first = (suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-             .where("first < last").select("key", "first"))
+    # and stored, so that the join below has a plain exchange on both sides,
+    # which Spark splits at such a key
+    first = cut(suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                .where("first < last").select("key", "first"))
     drops = (suspects.join(first, "key").where("doc > first")
              .groupBy("doc").agg(F.collect_set("key").alias("__drops"))
              .withColumnRenamed("doc", "__doc"))
