@@ -95,20 +95,23 @@ def _matrix(docs: list[set[str]], vocab: dict[str, int]):
     return np.array(ptr), np.concatenate(idx or [empty.astype(np.int64)]), np.concatenate(val or [empty])
 
 
-def fit_nnpu(positives: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 150,
+def fit_nnpu(positives: list, unlabelled: list, prior: float, steps: int = 150,
              rate: float = 0.1, l2: float = 3e-5, min_docs: int = MIN_DOCS) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss. Without
     positives or unlabelled texts, a model that always answers the prior."""
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positives or not unlabelled or not 0 < prior < 1:
         return Model({}, -40.0 if prior <= 0 else base, prior)
-    df, df_pos = Counter(), Counter()
-    for counter, sample in ((df, unlabelled), (df_pos, positives)):
-        for words in sample:
-            counter.update({f for w in words for f in word_features(w)})
+    in_positives: Counter = Counter()
+    for words in positives:
+        in_positives.update({f for w in words for f in word_features(w)})
+    in_positives = {f: n for f, n in in_positives.items() if n >= min_docs}
+    elsewhere: Counter = Counter()
+    for words in unlabelled:
+        elsewhere.update({f for w in words for f in word_features(w) if f in in_positives})
     # features that positives hold clearly more often than texts at large
-    names = sorted(f for f, n in df_pos.items()
-                   if n >= min_docs and n / len(positives) >= MIN_LIFT * (df[f] + 1) / len(unlabelled))
+    names = sorted(f for f, n in in_positives.items()
+                   if n / len(positives) >= MIN_LIFT * (elsewhere[f] + 1) / len(unlabelled))
     vocab = {f: i for i, f in enumerate(names)}
     n_pos, docs = len(positives), positives + unlabelled
     ptr, idx, val = _matrix(docs, vocab)
@@ -158,9 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unl_ids = texts.select("__id").orderBy(by_hash, "__id").limit(max_unlabelled)
     sample = (pos_ids.withColumn("kind", F.lit(True)).unionByName(unl_ids.withColumn("kind", F.lit(False)))
               .distinct())
-    got = [(r.kind, doc_words(bytes(r.t) if r.t is not None else None))
-           for r in texts.join(F.broadcast(sample), "__id").orderBy("kind", "__id").toLocalIterator()]
-    return fit_nnpu([w for k, w in got if k], [w for k, w in got if not k], prior)
+    pool: dict[str, str] = {}  # one string object per word, however many documents hold it
+    got: dict[bool, list] = {True: [], False: []}
+    for r in texts.join(F.broadcast(sample), "__id").orderBy("kind", "__id").toLocalIterator():
+        words = doc_words(bytes(r.t) if r.t is not None else None)
+        got[r.kind].append(frozenset(pool.setdefault(w, w) for w in words))
+    del pool
+    return fit_nnpu(got[True], got[False], prior)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
