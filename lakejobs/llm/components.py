@@ -3,7 +3,9 @@
 Each round hangs every node's larger neighbours on its smallest one (large
 star), then its smaller neighbours (small star); the number of rounds grows
 with the logarithm of the longest chain. Edges never leave the executors, and
-each round is checkpointed, so lineage stays short.
+each round is checkpointed, so lineage stays short. The minima per node are
+stored before they are joined back: both sides of that join are then plain
+exchanges, which Spark splits at a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct())
 
