@@ -27,9 +27,12 @@ MAX_REPEAT_PERCENT = 30
 UPPER = ("symbol_rate", "dup_line_rate", "repeat_rate")
 BOTH = ("mean_word_chars",)
 FENCE = 4.0
-# Smallest distance of a fence from the median: a group of equal values has no
-# spread of its own.
-SLACK = {"symbol_rate": 0.05, "dup_line_rate": 0.4, "repeat_rate": 0.3, "mean_word_chars": 1.5}
+# A group of equal quartiles has no spread of its own: there the fence lies at
+# the group's TAIL quantile, but at least and at most so far from the median.
+# A median of 0 thus gives fences well inside what the base rule lets through.
+TAIL = 0.99
+SLACK = {"symbol_rate": (0.02, 0.05), "dup_line_rate": (0.1, 0.2), "repeat_rate": (0.05, 0.15),
+         "mean_word_chars": (0.5, 1.0)}
 SKETCH_K = 400
 
 
@@ -109,12 +112,17 @@ def rates(df: DataFrame) -> DataFrame:
 
 def fences(measured: DataFrame, groups: list[str], fence: float = FENCE, k: int = SKETCH_K) -> DataFrame:
     """Per group: median plus and minus ``fence`` times the distance from the
-    median to the quartile on that side (SLACK at least), from KLL sketches."""
+    median to the quartile on that side, from KLL sketches; at least the
+    distance to the TAIL quantile on that side, held inside SLACK."""
     names = (*UPPER, *BOTH)
     sketches = measured.groupBy(*groups).agg(*[F.kll_sketch_agg_double(m, k).alias(m) for m in names])
-    q = {m: [F.kll_sketch_get_quantile_double(m, F.lit(p)) for p in (0.25, 0.5, 0.75)] for m in names}
-    high = [(q[m][1] + F.greatest(fence * (q[m][2] - q[m][1]), F.lit(SLACK[m]))).alias("__hi_" + m) for m in names]
-    low = [(q[m][1] - F.greatest(fence * (q[m][1] - q[m][0]), F.lit(SLACK[m]))).alias("__lo_" + m) for m in BOTH]
+    q = {m: [F.kll_sketch_get_quantile_double(m, F.lit(p)) for p in (1 - TAIL, 0.25, 0.5, 0.75, TAIL)] for m in names}
+
+    def reach(m, spread, tail):
+        least, most = SLACK[m]
+        return F.greatest(fence * spread, F.least(tail, F.lit(most)), F.lit(least))
+    high = [(q[m][2] + reach(m, q[m][3] - q[m][2], q[m][4] - q[m][2])).alias("__hi_" + m) for m in names]
+    low = [(q[m][2] - reach(m, q[m][2] - q[m][1], q[m][2] - q[m][0])).alias("__lo_" + m) for m in BOTH]
     return sketches.select(*[F.col(g).alias("__g_" + g) for g in groups], *high, *low)
 
 
@@ -129,7 +137,7 @@ def judge(docs: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("l
 
     * null and empty texts have no words and fail the base rule;
     * null languages and sources form groups of their own;
-    * in a group of equal values the slack around the median keeps them all;
+    * in a group of equal values the least slack around the median keeps them all;
       repeated rows count each; other columns are not read; an empty table
       gives an empty table.
     """

@@ -193,6 +193,27 @@ def test_quality_fences_are_the_groups_own(spark, docs):
     assert not kept.pop(999) and all(kept.values())  # usual in one source, odd in the other (null source)
 
 
+def _outlier(measure):
+    """A text that passes the base rule and is odd in one measure."""
+    w = [f"word{i}" for i in range(10, 100)]
+    lines = [" ".join(w[i:i + 7]) + "\nword00" * (i % 2) for i in range(0, 84, 7)]
+    return {"symbol_rate": " ".join(x[:3] + "|" * (i % 10 == 0) + x[4 if i % 10 == 0 else 3:] for i, x in enumerate(w)),
+            "dup_line_rate": "\n".join(lines),
+            "repeat_rate": " ".join(w + w[:15]),
+            "mean_word_chars": " ".join(x + ("ab" if i % 5 == 0 else "a") for i, x in enumerate(w))}[measure]
+
+
+@pytest.mark.parametrize("measure", [*quality.UPPER, *quality.BOTH])
+def test_quality_each_measure_rejects_a_group_outlier(docs, measure):
+    plain = [(i, " ".join(f"word{(i + j) % 90 + 10}" for j in range(90))) for i in range(50)]
+    got = {r.doc_id: r for r in quality.judge(docs([*plain, (999, _outlier(measure))])).collect()}
+    odd = got.pop(999)
+    assert not odd.base_failed and not odd.kept and all(r.kept for r in got.values())
+    usual = got[0]
+    rest = {m for m in (*quality.UPPER, *quality.BOTH) if abs(odd[m] - usual[m]) > quality.SLACK[m][0]}
+    assert rest == {measure}
+
+
 def test_quality_odd_rows(docs, odd_rows):
     assert quality.judge(docs(odd_rows).withColumn("n_words", F.lit(1)).drop("n_words")).count() == len(odd_rows)
     assert quality.judge(docs([])).count() == 0
