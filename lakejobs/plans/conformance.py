@@ -476,6 +476,32 @@ def q_sql_topn_group(spark, sf_dir, fan_in=O.TOP_N_FAN_IN):
     return O.top_n(li, ["l_suppkey"], order, 3, fan_in, name="rn").withColumn("rn", F.col("rn").cast("int"))
 
 
+ARRAY_BLOCK = 1024  # neighbouring lines of the input whose values may share an array
+
+
+def q_sql_array(spark, sf_dir, block_rows=ARRAY_BLOCK):
+    """``sql_array`` over single lines, not over the eight sums per order of
+    the SQL text. No array holds more than ``block_rows`` values, however many
+    lines an order has: neighbouring rows of the input form a block, the array
+    functions run per (order, block), and sizes and sums are added up over an
+    order's blocks, the maximum is taken and the flag or-combined."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    li = li.withColumn("block", F.expr(f"monotonically_increasing_id() div {block_rows}"))
+    parts = (li.groupBy("l_orderkey", "block")
+             .agg(F.collect_list("l_quantity").alias("qtys"))
+             .selectExpr("l_orderkey", "size(qtys) AS n_items",
+                         "aggregate(transform(qtys, q -> q * 2), 0D, (acc, q) -> acc + q) AS double_qty",
+                         "size(filter(qtys, q -> q > 25)) AS n_big",
+                         "array_max(qtys) AS max_qty",
+                         "array_contains(qtys, 1D) AS has_one"))
+    return (parts.groupBy("l_orderkey")
+            .agg(F.sum("n_items").cast("int").alias("n_items"), F.sum("double_qty").alias("double_qty"),
+                 F.sum("n_big").cast("int").alias("n_big"), F.max("max_qty").alias("max_qty"),
+                 F.bool_or("has_one").alias("has_one"))
+            .withColumn("via_map", F.expr(
+                "element_at(map_from_entries(array(struct('n' AS k, n_items AS v), struct('b' AS k, n_big AS v))), 'b')")))
+
+
 def q_sql_preview(spark, sf_dir):
     return preview(spark, read_table(spark, sf_dir, "nation"))
 
@@ -494,6 +520,7 @@ QUERIES["sql_rank"] = q_sql_rank
 QUERIES["sql_lag"] = q_sql_lag
 QUERIES["sql_frame"] = q_sql_frame
 QUERIES["sql_topn_group"] = q_sql_topn_group
+QUERIES["sql_array"] = q_sql_array
 QUERIES["sql_preview"] = q_sql_preview
 QUERIES["sql_count_orders"] = q_sql_count_df
 QUERIES["load_tables"] = q_load_tables

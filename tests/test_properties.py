@@ -305,3 +305,23 @@ def test_shared_folder_is_required_off_local():
         sparkContext, conf = Context(), Conf()
     with pytest.raises(RuntimeError):
         shared_root(Session())
+
+
+def test_array_functions_see_single_lines_of_hot_orders(spark, sf_dir):
+    from lakejobs.plans import conformance
+    base = work_dir(spark, "t-array")
+    li = read_table(spark, sf_dir, "lineitem")
+    hot = li.where("l_orderkey % 2 = 0").withColumn("l_orderkey", F.col("l_orderkey") % 3)
+    hot = hot.withColumn("l_quantity", F.when(F.col("l_orderkey") > 0, F.col("l_quantity")))  # one order of nulls only
+    hot.unionByName(li.where("l_orderkey % 2 = 1")).write.parquet(f"{base}/lineitem.parquet")
+    lines = {}
+    for r in read_table(spark, base, "lineitem").select("l_orderkey", "l_quantity").collect():
+        lines.setdefault(r.l_orderkey, []).extend([r.l_quantity] * (r.l_quantity is not None))
+    assert lines[0] == [] and max(map(len, lines.values())) > 500
+    want = sorted((k, len(v), sum(2 * x for x in v), sum(x > 25 for x in v), max(v, default=None), 1.0 in v,
+                   sum(x > 25 for x in v)) for k, v in lines.items())
+    for block_rows in (1, 100, conformance.ARRAY_BLOCK):
+        got = conformance.q_sql_array(spark, base, block_rows)
+        assert got.columns == ["l_orderkey", "n_items", "double_qty", "n_big", "max_qty", "has_one", "via_map"]
+        assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, conformance.QUERIES["sql_array"](spark, base).collect())) == want
