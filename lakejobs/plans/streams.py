@@ -80,7 +80,7 @@ def q_obs_follow(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
-RATE_EVERY, RATE_LATE = "1 hour", "1 hour"
+RATE_EVERY = "1 hour"
 
 
 def q_obs_rate(spark, sf_dir):
@@ -88,9 +88,9 @@ def q_obs_rate(spark, sf_dir):
     base = work_dir(spark, "rate")
     logs = spark_input(spark, sf_dir, LOG_LINES)
     _drop(logs, "ts", f"{base}/in/drop=1", True)
-    run_rate(spark, f"{base}/in/*", f"{base}/_ckpt", f"{base}/out", RATE_EVERY, RATE_LATE)
+    run_rate(spark, f"{base}/in/*", f"{base}/_ckpt", f"{base}/out", RATE_EVERY)
     _drop(logs, "ts", f"{base}/in/drop=2", False)
-    run_rate(spark, f"{base}/in/*", f"{base}/_ckpt", f"{base}/out", RATE_EVERY, RATE_LATE)
+    run_rate(spark, f"{base}/in/*", f"{base}/_ckpt", f"{base}/out", RATE_EVERY)
     return read_rate(spark, f"{base}/out")
 
 

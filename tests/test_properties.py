@@ -98,6 +98,26 @@ def test_streaming_rate_equals_batch_on_all_windows(spark, sf_dir):
     assert got == want
 
 
+def test_rate_counts_a_backlog_in_any_order_and_replays(spark, sf_dir):
+    from lakejobs.streaming.logs import level_of, rate, read_rate, run_rate
+    base = work_dir(spark, "t-rate")
+    logs = telemetry.log_lines(spark, sf_dir)
+    days = sorted(r[0] for r in logs.select(F.to_date("ts")).distinct().collect())
+    for day in (days[-1], days[0], days[-2], days[1]):   # files are taken by age: the newest day first
+        write_raw(logs.filter(F.to_date("ts") == F.lit(day)), f"{base}/in/day={day}")
+    files = spark.read.schema(logs.schema).json(f"{base}/in/*")
+    want = sorted(map(tuple, rate(files.withColumn("level", level_of())).collect()))
+    for _ in range(2):
+        run_rate(spark, f"{base}/in/*", f"{base}/ck", f"{base}/out", max_files_per_batch=1)
+    got = sorted(map(tuple, read_rate(spark, f"{base}/out").collect()))
+    assert got == want and sum(r[-1] for r in got) == files.count()
+    out = spark.read.parquet(f"{base}/out")
+    assert out.select("batch_id").distinct().count() >= 4
+    again = out.where("batch_id = 0").drop("batch_id")
+    write_batch(spark.createDataFrame(again.collect(), again.schema), 0, f"{base}/out")   # a replayed batch
+    assert sorted(map(tuple, read_rate(spark, f"{base}/out").collect())) == want
+
+
 def test_problems_first_and_newest_first_order(spark, sf_dir):
     rows = O.problems_first(O.pod_readiness(telemetry.pods(spark, sf_dir))).collect()
     keys = [(r.all_ready, r.name) for r in rows]
