@@ -383,7 +383,8 @@ def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, nprobe: i
     nprobe = min(nprobe, len(centers))
 
     def task(qids, qv):
-        cells = _nearest_cells(qv, centers, nprobe)
+        # a cosine doesn't depend on the query's length, so its cells must not either
+        cells = _nearest_cells(_unit(qv) if metric == "cosine" else qv, centers, nprobe)
         flat, who = cells.ravel(), np.repeat(np.arange(len(qids)), cells.shape[1])
         order = np.argsort(flat, kind="stable")
         wanted, starts = np.unique(flat[order], return_index=True)

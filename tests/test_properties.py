@@ -66,6 +66,25 @@ def test_approx_recall(spark, sf_dir):
     assert len(exact & approx) / len(exact) >= 0.8
 
 
+def test_recall_of_the_probed_cells_on_the_tables_own_rows(spark, sf_dir, monkeypatch):
+    corpus = read_table(spark, sf_dir, "embeddings")
+    assert vectors._row_queries(corpus).count() == corpus.where("vec_id % 100 = 0").count() > 0
+    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"), vectors.N_CELLS)
+    assert vectors.RECALL >= 0.9 and vectors.row_recall(spark, corpus, index, vectors.NPROBE) >= 0.9
+    assert vectors.row_recall(spark, corpus, index, 1) < 0.9
+    monkeypatch.setattr(vectors, "row_recall", lambda *a: 0.89)
+    assert not any(r.recall_ok for r in vectors.q_vector_topk_approx(spark, sf_dir).collect())
+
+
+def test_cosine_probes_do_not_depend_on_the_length_of_a_query(spark, sf_dir):
+    corpus = read_table(spark, sf_dir, "embeddings")
+    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"), vectors.N_CELLS)
+    rows = vectors._row_queries(corpus)
+    short = rows.withColumn("embedding", F.transform("embedding", lambda x: x * 0.01))
+    got = [sorted((r.qid, r.vec_id) for r in V.top_k_approx(spark, index, q, nprobe=3).collect()) for q in (rows, short)]
+    assert got[0] == got[1]
+
+
 def test_topk_all_metrics_agree_on_unit_vectors(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
     q = V.centroids(corpus, "label")
