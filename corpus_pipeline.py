@@ -44,7 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contaminates go as a whole."""
+    """Documents that the benchmark contaminates go as a whole. The length limit
+    on spans (``max_span``) is off: by the contract's rule a document under the
+    coverage limit is clean, so its text stays as it is, whatever passage of the
+    benchmark it holds (up to 999 words in a document of 20,000)."""
     return decontaminate(docs, read_docs(spark, sf_dir, "benchmark"))
 
 
