@@ -139,33 +139,64 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> list
     # equal lengths cost the same, so descending length is descending cost
     rests = [(-n, doc, start) for n, doc, start in rests]
     heapq.heapify(rests)
-    open_ = [(0.0, s) for s in range(seq, len(room))]
-    heapq.heapify(open_)
+    open_ = _Open(size)
+    for s in range(seq, len(room)):
+        open_.add(room[s], 0.0, s)
     while rests:
         n, doc, start = heapq.heappop(rests)
         n = -n
-        passed = []
-        while open_ and room[open_[0][1]] < n:
-            passed.append(heapq.heappop(open_))
-            if len(passed) >= LOOK:
-                break
-        if open_ and room[open_[0][1]] >= n:
-            cost, s = heapq.heappop(open_)
-        else:  # fits in none of the cheapest: fill the cheapest and carry on with the rest
-            cost, s = passed.pop(0)
-            take = room[s]
+        found = open_.cheapest(n)
+        if found is None:  # fits nowhere whole: fill the cheapest and carry on with the rest
+            found = open_.cheapest(1)
+            take = room[found[1]]
             heapq.heappush(rests, (take - n, doc, start + take))
             n = take
+        cost, s = found
+        open_.remove(room[s])
         put(doc, start, n, s)
-        for x in passed:
-            heapq.heappush(open_, x)
         if room[s]:
-            heapq.heappush(open_, (cost + linear * n + quadratic * n * n, s))
+            open_.add(room[s], cost + linear * n + quadratic * n * n, s)
     return pieces
 
 
-# How many of the cheapest sequences are tried before a piece is cut.
-LOOK = 16
+class _Open:
+    """Open sequences by remaining room: a heap of (cost, sequence) for each
+    room, and over them a tree of minima that gives the cheapest with at least
+    so much room."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, size: int):
+        self.width = 1 << size.bit_length()
+        self.heaps: list[list] = [[] for _ in range(self.width)]
+        self.least = [self.NONE] * (2 * self.width)
+
+    def _update(self, room: int):
+        least, i = self.least, self.width + room
+        least[i] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def add(self, room: int, cost: float, seq: int):
+        heapq.heappush(self.heaps[room], (cost, seq))
+        self._update(room)
+
+    def remove(self, room: int):
+        """Take out the cheapest sequence of exactly this room."""
+        heapq.heappop(self.heaps[room])
+        self._update(room)
+
+    def cheapest(self, room: int) -> tuple[float, int] | None:
+        """The cheapest (cost, sequence) with at least this room; None if none has it."""
+        i = self.width + room
+        best = self.least[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, self.least[i + 1])
+            i >>= 1
+        return None if best is self.NONE else best
+
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in
                        ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]

@@ -1,5 +1,6 @@
 """Decontamination and packing against brute force."""
 
+import heapq
 import random
 import re
 import zlib
@@ -107,6 +108,27 @@ def test_capacities_and_packing_are_exact():
         assert seen == lengths and fill == room
 
 
+def test_a_piece_is_cut_only_where_none_fits():
+    """Every placement against a scan of all open sequences: the cheapest with
+    room for the whole piece, and only without one the cheapest of all."""
+    rng = random.Random(5)
+    for size, count in ((64, 300), (100, 500), (4096, 400)):
+        lengths = [rng.randrange(1, size) if i % 3 else rng.randrange(1, size // 8) for i in range(count)]
+        room = P.capacities(sum(lengths), size)
+        cost, left, start = [0.0] * len(room), sorted(((-n, d) for d, n in enumerate(lengths))), [0] * count
+        for doc, at, n, seq, _ in P.pack(lengths, size, 1.0, 1 / size):
+            longest, d = heapq.heappop(left)
+            fits = [s for s in range(len(room)) if room[s] >= -longest]
+            want = min(fits or [s for s in range(len(room)) if room[s]], key=lambda s: (cost[s], s))
+            take = min(-longest, room[want])
+            assert (doc, at, n, seq) == (d, start[d], take, want)
+            start[d] += n
+            room[seq] -= n
+            cost[seq] = cost[seq] + 1.0 * n + 1 / size * n * n
+            if take < -longest:
+                heapq.heappush(left, (longest + take, d))
+
+
 def test_costs_are_balanced():
     r = random.Random(8)
     lengths = [r.choice([30, 300, 1500, 3000]) for _ in range(3000)]
