@@ -10,7 +10,7 @@ shuffled and no text.
 The rolling hash is the exclusive-or of the hashes of (turn, role, text), which
 is associative: prefixes are worked out in blocks of ``BLOCK_TURNS`` turn
 numbers and joined to the running hash of the blocks before, so one endless
-conversation is spread over tasks.
+conversation is spread over tasks, unless its messages share few turn numbers.
 """
 
 from __future__ import annotations
@@ -83,7 +83,9 @@ def collapse(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     """Maximal conversations, rendered: (conv_id, part, n_turns, n_copies,
     n_messages, rendered). ``part`` counts blocks of ``BLOCK_TURNS`` turn
     numbers (one part for usual conversations), so no row gathers an endless
-    conversation; parts in order give the whole.
+    conversation; parts in order give the whole. Different messages of one turn
+    number stay together, all null turns of a conversation too: a part, and the
+    task that renders it, holds all of them, however many there are.
 
     * rows without a conversation id are left out;
     * null turns come first and equal each other; null roles are rendered as
