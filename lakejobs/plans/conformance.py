@@ -292,12 +292,9 @@ FROM {lineitem}
 """, None)
 
 TEXTS["sql_array"] = ("""
-WITH per_slot AS (
-  SELECT l_orderkey, l_linenumber % 8 AS slot, sum(l_quantity) AS qty
-  FROM {lineitem} GROUP BY l_orderkey, l_linenumber % 8),
-per_order AS (
-  SELECT l_orderkey, collect_list(qty) AS qtys
-  FROM per_slot GROUP BY l_orderkey)
+WITH per_order AS (
+  SELECT l_orderkey, collect_list(l_quantity) AS qtys
+  FROM {lineitem} GROUP BY l_orderkey)
 SELECT l_orderkey,
        size(qtys) AS n_items,
        aggregate(transform(qtys, q -> q * 2), 0D, (acc, q) -> acc + q) AS double_qty,
@@ -307,12 +304,9 @@ SELECT l_orderkey,
        element_at(map_from_entries(array(struct('n', size(qtys)), struct('b', size(filter(qtys, q -> q > 25))))), 'b') AS via_map
 FROM per_order
 """, """
-WITH per_slot AS (
-  SELECT l_orderkey, l_linenumber % 8 AS slot, sum(l_quantity) AS qty
-  FROM lineitem GROUP BY l_orderkey, l_linenumber % 8),
-per_order AS (
-  SELECT l_orderkey, list(qty) AS qtys
-  FROM per_slot GROUP BY l_orderkey)
+WITH per_order AS (
+  SELECT l_orderkey, list(l_quantity) AS qtys
+  FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey,
        CAST(len(qtys) AS INT) AS n_items,
        list_sum(list_transform(qtys, lambda q: q * 2)) AS double_qty,
@@ -480,8 +474,7 @@ ARRAY_BLOCK = 1024  # neighbouring lines of the input whose values may share an
 
 
 def q_sql_array(spark, sf_dir, block_rows=ARRAY_BLOCK):
-    """``sql_array`` over single lines, not over the eight sums per order of
-    the SQL text. No array holds more than ``block_rows`` values, however many
+    """``sql_array`` without an array per order. No array holds more than ``block_rows`` values, however many
     lines an order has: neighbouring rows of the input form a block, the array
     functions run per (order, block), and sizes and sums are added up over an
     order's blocks, the maximum is taken and the flag or-combined."""
