@@ -22,6 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lakejobs.operators.ordering import top_n
 from lakejobs.session import shared_root
@@ -88,9 +89,10 @@ def _embed_with(df, col, encoder, dim, out):
 
 # ------------------------------------------------------------------ VEC-3
 
-# Key buckets of a new table; choose them so that one bucket of the compacted
-# table stays about 1 GB.
-DEFAULT_BUCKETS = 64
+# Key buckets of a new table, unless the caller names them: one per so many bytes
+# of its first change set, by Spark's estimate of the size.
+BUCKET_BYTES = 1 << 30
+MAX_BUCKETS = 4096
 LAYOUT = T.StructType([T.StructField("generation", T.LongType()), T.StructField("buckets", T.IntegerType())])
 
 
@@ -98,6 +100,14 @@ def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
+def default_buckets(first: DataFrame) -> int:
+    """Buckets of about ``BUCKET_BYTES`` for a table that starts with ``first``.
+    The plan's size estimate is enough, and costs no job: a bucket that is larger
+    is written as several files, many small ones only mean more folders."""
+    size = int(str(first._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 def _layout(spark: SparkSession, path: str):
     """(generation, buckets) of the table, or None when there is none yet.
     Layout files are only added, never rewritten; the newest counts."""
@@ -130,12 +140,12 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str, version
     sets together. ``delta`` names the change set: writing one again replaces
     it. By default it is the next number.
 
-    The number of key buckets is stored with the table by the first write; a
-    later write with another one is refused.
+    The number of key buckets (by default :func:`default_buckets`) is stored with
+    the table by the first write; a later write with another one is refused.
     """
     layout = _layout(spark, path)
     if layout is None:
-        layout = (0, buckets or DEFAULT_BUCKETS)
+        layout = (0, buckets or default_buckets(updates))
         _write_layout(spark, path, *layout)
     elif buckets is not None and buckets != layout[1]:
         raise ValueError(f"the table has {layout[1]} buckets, not {buckets}")
@@ -168,9 +178,12 @@ def current(spark: SparkSession, path: str, key: str, version: str) -> DataFrame
 def compact(spark: SparkSession, path: str, key: str, version: str) -> None:
     """Fold all change sets into the first one of a new generation. Readers go
     on with the old generation until the layout file of the new one is there;
-    a compaction that dies half-way is simply run again."""
+    a compaction that dies half-way is simply run again. A table that has grown
+    gets more buckets, by :func:`default_buckets`, never fewer."""
     generation, n = _layout(spark, path)
-    rows = current(spark, path, key, version).withColumn("bucket", _bucket(key, n))
+    rows = current(spark, path, key, version)
+    n = max(n, default_buckets(rows))
+    rows = rows.withColumn("bucket", _bucket(key, n))
     _write_delta(rows, f"{path}/generation={generation + 1:06d}/delta=0")
     _write_layout(spark, path, generation + 1, n)
 
@@ -393,3 +406,51 @@ def top_k_approx(spark: SparkSession, index: dict, queries: DataFrame, nprobe: i
         kern = _kernel(_ship(spark, qv, qids, metric, by_cell), k, id_col, vec_col, metric, cell_col="cell")
         return scan.select(id_col, vec_col, "cell").mapInPandas(kern, f"qid long, {id_col} long, score double")
     return _search(spark, _query_blocks(queries, qid_col, vec_col, extra=nprobe), task, k, id_col)
+
+
+def found_by_probes(spark: SparkSession, index: dict, queries: DataFrame, exact: DataFrame, metric: str = "cosine",
+                    id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "qid") -> DataFrame:
+    """Which answers a search finds, for every number of probes at once: the rows
+    (qid, id) of ``exact`` with ``probes``, the smallest ``nprobe`` with which
+    :func:`top_k_approx` finds them, that is the rank of their cell among the
+    cells nearest to the query. Ids must be unique in the index."""
+    centers = spark.sparkContext.broadcast(index["centers"])
+
+    def ranks(batches):
+        c = centers.value
+        for pdf in batches:
+            pdf = pdf[pdf[vec_col].notna()]
+            for i in range(0, len(pdf), PROBE_CHUNK):
+                part = pdf.iloc[i:i + PROBE_CHUNK]
+                q = np.stack(part[vec_col].to_numpy()).astype(np.float64)
+                cells = _nearest_cells(_unit(q) if metric == "cosine" else q, c, len(c))
+                yield pd.DataFrame({"qid": np.repeat(part[qid_col].to_numpy(dtype=np.int64), len(c)),
+                                    "cell": cells.ravel().astype(np.int32),
+                                    "probes": np.tile(np.arange(1, len(c) + 1, dtype=np.int32), len(part))})
+    ranked = queries.select(qid_col, vec_col).mapInPandas(ranks, "qid long, cell int, probes int")
+    homes = spark.read.parquet(index["path"]).select(id_col, F.col("cell").cast("int").alias("cell"))
+    return (exact.select(F.col("qid"), id_col).join(homes, id_col).join(ranked, ["qid", "cell"])
+            .select("qid", id_col, "probes"))
+
+
+def probes_for(found: DataFrame, recall: float, each: bool = False) -> int:
+    """The smallest number of probes that finds at least the share ``recall`` of
+    the answers in ``found`` (:func:`found_by_probes`), of all together or, with
+    ``each``, of every query; 1 if there is none. One row per number of probes
+    reaches the driver."""
+    by = ["qid"] if each else []
+    per = found.groupBy(*by, "probes").agg(F.count(F.lit(1)).alias("n"))
+    if each:
+        # of every query the first number of probes that is enough, then the largest
+        w = Window.partitionBy("qid")
+        so_far = F.sum("n").over(w.orderBy("probes").rowsBetween(Window.unboundedPreceding, 0))
+        enough = per.select("probes", (so_far >= recall * F.sum("n").over(w)).alias("ok"), "qid")
+        most = enough.where("ok").groupBy("qid").agg(F.min("probes").alias("p")).agg(F.max("p")).first()[0]
+        return most or 1
+    counts = sorted(tuple(r) for r in per.collect())
+    total, seen = sum(n for _, n in counts), 0
+    for probes, n in counts:
+        seen += n
+        if seen >= recall * total:
+            return probes
+    return 1

@@ -88,7 +88,7 @@ def run_pipeline(spark: SparkSession, cfg: dict) -> dict:
         upd = emb.select("vec_key", "search_text", "embedding", F.col("batch_id").alias("version"))
         # the newest batch names the change set, so a replay rewrites its own
         V.upsert(spark, paths["vectors"], upd, "vec_key", "version", delta=top,
-                 buckets=int(cfg.get("buckets", V.DEFAULT_BUCKETS)))
+                 buckets=int(cfg["buckets"]) if cfg.get("buckets") else None)
         _write_mark(spark, mark_p, top)
 
     for fn in (ingest, refine, vectorise):

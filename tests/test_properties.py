@@ -60,20 +60,42 @@ def test_upsert_twice_equals_once(spark, sf_dir):
     assert rows() == once
 
 
+def _recall(found, exact):
+    found, exact = ({(r.qid, r.vec_id) for r in x.collect()} for x in (found, exact))
+    return len(found & exact) / len(exact)
+
+
 def test_approx_recall(spark, sf_dir):
-    exact = {(r.qid, r.vec_id) for r in vectors.q_vector_topk(spark, sf_dir).collect()}
-    approx = {(r.qid, r.vec_id) for r in vectors.q_vector_topk_approx(spark, sf_dir).collect()}
-    assert len(exact & approx) / len(exact) >= 0.8
+    """The registered index search against the registered exact one."""
+    exact = vectors.q_vector_rows_topk(spark, sf_dir)
+    assert exact.select("qid").distinct().count() == read_table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").count() > 0
+    assert vectors.RECALL >= 0.9 and _recall(vectors.q_vector_rows_approx(spark, sf_dir), exact) >= 0.9
+    assert all(r.recall_ok for r in vectors.q_vector_topk_approx(spark, sf_dir).collect())
 
 
-def test_recall_of_the_probed_cells_on_the_tables_own_rows(spark, sf_dir, monkeypatch):
+def test_measured_probes_are_the_fewest_that_reach_the_recall(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
-    assert vectors._row_queries(corpus).count() == corpus.where("vec_id % 100 = 0").count() > 0
     index = V.build_ivf(corpus, work_dir(spark, "t-ivf"), vectors.N_CELLS)
-    assert vectors.RECALL >= 0.9 and vectors.row_recall(spark, corpus, index, vectors.NPROBE) >= 0.9
-    assert vectors.row_recall(spark, corpus, index, 1) < 0.9
-    monkeypatch.setattr(vectors, "row_recall", lambda *a: 0.89)
-    assert not any(r.recall_ok for r in vectors.q_vector_topk_approx(spark, sf_dir).collect())
+    rows = vectors._row_queries(corpus)
+    exact = V.top_k(corpus, rows, k=10)
+    found = V.found_by_probes(spark, index, rows, exact).checkpoint()
+    assert found.count() == exact.count()
+    for recall in (0.5, 0.9, 1.0):
+        n = V.probes_for(found, recall)
+        got = {p: _recall(V.top_k_approx(spark, index, rows, nprobe=p), exact) for p in (n - 1, n) if p}
+        assert got[n] >= recall and got.get(n - 1, 0) < recall
+        each = V.probes_for(found, recall, each=True)
+        assert each >= n
+        hits = vectors._hits(exact, V.top_k_approx(spark, index, rows, nprobe=each))
+        least = hits.groupBy("qid").agg((F.count("hit") / F.count(F.lit(1))).alias("r")).agg(F.min("r")).first()[0]
+        assert least >= recall
+    nothing = V.found_by_probes(spark, index, rows.limit(0), exact.limit(0))
+    assert V.probes_for(nothing, 0.9) == V.probes_for(nothing, 0.9, each=True) == 1
+
+
+def test_flag_of_the_approximate_search_is_measured(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(V, "probes_for", lambda *a, **k: 1)
+    assert not all(r.recall_ok for r in vectors.q_vector_topk_approx(spark, sf_dir).collect())
 
 
 def test_cosine_probes_do_not_depend_on_the_length_of_a_query(spark, sf_dir):
@@ -230,6 +252,25 @@ def test_unreadable_vector_table_fails_and_loses_nothing(spark, sf_dir):
     assert spark.read.parquet(f"{path}/generation=000000").count() == base.count()
 
 
+def test_buckets_follow_the_size_of_the_table(spark, sf_dir, monkeypatch):
+    base = read_table(spark, sf_dir, "embeddings").select("vec_id", F.lit(1).alias("version"), "embedding")
+    assert V.default_buckets(base) == 1
+    path = work_dir(spark, "t-buckets")
+    V.upsert(spark, path, base.limit(5), "vec_id", "version")
+    V.upsert(spark, path, base, "vec_id", "version")
+    assert V._layout(spark, path).buckets == 1
+    monkeypatch.setattr(V, "BUCKET_BYTES", 1000)
+    V.compact(spark, path, "vec_id", "version")
+    grown = V._layout(spark, path)
+    assert grown.generation == 1 and 1 < grown.buckets <= V.MAX_BUCKETS
+    monkeypatch.undo()
+    V.compact(spark, path, "vec_id", "version")  # never fewer
+    V.upsert(spark, path, base.withColumn("version", F.lit(2)), "vec_id", "version")
+    assert V._layout(spark, path).buckets == grown.buckets
+    out = V.current(spark, path, "vec_id", "version")
+    assert out.count() == base.count() and out.where("version = 2").count() == base.count()
+
+
 def test_half_compacted_table_reads_as_before(spark, sf_dir):
     path = work_dir(spark, "t-compact")
     base = read_table(spark, sf_dir, "embeddings").select("vec_id", F.lit(1).alias("version"))
