@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lakejobs.functions.quantity import cpu_millicores, mem_bytes, tail_size
 from lakejobs.functions.status import (HEALTHY, PENDING, pod_health, pod_phase,
                                        rank_status, status_rank)
-from lakejobs.operators.ordering import TOP_N_FAN_IN, top_n
+from lakejobs.operators.ordering import HOT_GROUP_ROWS, TOP_N_FAN_IN, split_hot, top_n
 from lakejobs.plans.joins import bounded_broadcast
 
 # Service display name -> pod label selector (label, value).
@@ -276,14 +276,21 @@ def grep(logs: DataFrame, text: str | None, col: str = "line") -> DataFrame:
 LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def export(logs: DataFrame, path: str, by: str = "pod") -> None:
+def export(logs: DataFrame, path: str, by: str = "pod", hot_rows: int = HOT_GROUP_ROWS) -> None:
     """Write log lines as plain text files, one folder per pod (OBS-22). Lines
-    are in order of time and line number inside each file. Lines are dealt out
-    by pod, and AQE splits a pod too large for one task over several files. A
-    new export replaces the last one whole, pods that are gone included."""
+    are in order of time and line number inside each file. A new export replaces
+    the last one whole, pods that are gone included.
+
+    Opening a file per pod is the work, however few bytes the lines have, so
+    pods are dealt out over all shuffle partitions, which are not merged by
+    size. A pod of more than about ``hot_rows`` lines is too large for one task:
+    such pods are rebalanced, and split over several files, by size."""
     line = F.concat_ws(" ", F.date_format("ts", LOG_TS_FORMAT), F.col("line"))
-    (logs.select(by, "ts", "line_no", line.alias("value"))
-     .hint("rebalance", F.col(by)).sortWithinPartitions(by, "ts", "line_no").select(by, "value")
+    usual, hot = split_hot(logs.select(by, "ts", "line_no", line.alias("value")), [by], hot_rows)
+    dealt = usual.repartition(int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    if hot is not None:
+        dealt = dealt.unionByName(hot.hint("rebalance", F.col(by)))
+    (dealt.sortWithinPartitions(by, "ts", "line_no").select(by, "value")
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
      .option("maxRecordsPerFile", 1_000_000).partitionBy(by).text(path))
 

@@ -201,3 +201,18 @@ def test_export_replaces_and_keeps_names_and_order(spark, tmp_path):
     assert {r.pod for r in O.read_export(spark, str(tmp_path)).collect()} == {"007", "08"}
     files = list(tmp_path.glob("pod=007/*.txt"))
     assert len(files) == 1 and [x.split()[-1] for x in files[0].read_text().splitlines()] == [f"l{i}" for i in range(300)]
+
+
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_export_of_a_hot_pod_is_whole_and_in_order(spark, tmp_path, hot_rows):
+    """A pod above the threshold, null pods and usual ones; both ways of dealing."""
+    rows = spark.range(600).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('p', id % 7) END AS pod",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, 600 - id) AS ts", "id AS line_no",
+        "concat('line ', id) AS line").repartition(9)
+    O.export(rows, str(tmp_path), hot_rows=hot_rows)
+    got = sorted((r.pod or "", r.line.split(" ", 2)[2]) for r in O.read_export(spark, str(tmp_path)).collect())
+    assert got == sorted((r.pod or "", r.line) for r in rows.collect())
+    for f in tmp_path.glob("pod=*/part-*"):
+        lines = f.read_text().splitlines()
+        assert lines == sorted(lines)
