@@ -7,10 +7,12 @@ are scaled to the target's total so that smoothing weighs the same in both. A
 document's score is the mean over its characters of the target model's loss
 minus the background model's; lower is closer to the target.
 
-Counts are combined per task and summed by Spark. The model table is brought to
-the texts in blocks of a fixed number of n-grams: each block is broadcast and
-adds its share of every document's losses, so memory is bounded however many
-n-grams the corpus holds.
+Counts are combined per task and summed by Spark. A model of few blocks of a
+fixed number of n-grams is brought to the texts: each block is broadcast and
+adds its share of every document's losses, in one pass over the texts each. A
+larger model stays in its table: every text's different n-grams are joined with
+it, and no model row passes through the driver. Both give the same scores, and
+memory is bounded however many n-grams the corpus holds.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakejobs.llm.common import cut, raw, share, written
+from lakejobs.llm.common import cut, raw, share, slices, written
 
 ORDER = 5
 ALPHA = 0.1
 BLOCK_GRAMS = 4_000_000
+MAX_BLOCKS = 8  # passes over the texts that still cost less than shuffling their n-grams
 CHUNK_CHARS = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,33 +182,62 @@ def _blocks(model: DataFrame, block_grams: int) -> Iterator[LossTable]:
         yield LossTable(keys, np.ascontiguousarray(losses))
 
 
+def _text_grams(order: int):
+    """The different n-grams of each text, with their number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for text, k1, k2 in zip(*(c.to_pylist() for c in b.columns)):
+                code = code_points(text)
+                if len(code):
+                    gram, n = np.unique(grams(code, order)[0], return_counts=True)
+                    for c, v in zip(cols, (np.full(len(gram), k1), np.full(len(gram), k2), gram.view(np.int64), n)):
+                        c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols],
+                                                 ["__k1", "__k2", "gram", "n"])
+    return run
+
+
+def _joined_losses(keyed: DataFrame, model: DataFrame, text_col: str, order: int) -> DataFrame:
+    """Summed losses per text hash by a join of n-grams: plain exchanges on both
+    sides, which Spark splits at an n-gram of very many texts."""
+    texts = keyed.select(raw(text_col).alias("t"), "__k1", "__k2").dropDuplicates(["__k1", "__k2"])
+    held = texts.mapInArrow(_text_grams(order), "__k1 long, __k2 long, gram long, n long").join(model, "gram")
+    return held.groupBy("__k1", "__k2").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("loss_target")).alias("t"),
+        F.sum(F.col("n") * F.col("loss_background")).alias("b"))
+
+
 def score(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int = ORDER,
-          block_grams: int = BLOCK_GRAMS) -> DataFrame:
+          block_grams: int = BLOCK_GRAMS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``docs`` with ``n_tokens`` (characters), ``loss_target``,
     ``loss_background`` (nats per character) and ``score``, their difference;
     input columns of these names are replaced. Null and empty texts have no
-    tokens, null losses and score 0. Repeated rows stay."""
+    tokens, null losses and score 0. Repeated rows stay. A model of more than
+    ``max_blocks`` blocks of ``block_grams`` n-grams is joined, not broadcast."""
     spark = docs.sparkSession
     docs = docs.drop("n_tokens", "loss_target", "loss_background", "score")
     model = cut(model)
-    blocks = _blocks(model, block_grams)
-    tables = 0
-    summed = None
-    # texts of one hash have one score, so blocks meet again by it
+    # texts of one hash have one score, so parts meet again by it
     keyed = docs.withColumns({"__k1": F.xxhash64(text_col), "__k2": F.xxhash64(F.lit("second"), F.col(text_col))})
-    several = model.count() > block_grams
-    for table in blocks:
-        tables += 1
-        run = _sum_losses(share(spark, table), order)
-        if not several:
-            summed = docs.withColumn("__s", run(raw(text_col)))
+    size = model.count()
+    if size > block_grams:
+        if size > max_blocks * block_grams:
+            total = cut(_joined_losses(keyed, model, text_col, order))
         else:
-            part = cut(keyed.select("__k1", "__k2", run(raw(text_col)).alias("__s")).dropDuplicates(["__k1", "__k2"]))
-            summed = part if summed is None else summed.unionByName(part)
-    if several:
-        total = (summed.groupBy("__k1", "__k2").agg(F.max("__s.n").alias("n"), F.sum("__s.t").alias("t"), F.sum("__s.b").alias("b"))
-                 .select("__k1", "__k2", F.struct("n", "t", "b").alias("__s")))
-        summed = keyed.join(total, ["__k1", "__k2"])
+            parts = None
+            for table in _blocks(model, block_grams):
+                run = _sum_losses(share(spark, table), order)
+                part = cut(keyed.select("__k1", "__k2", run(raw(text_col)).alias("__s")).dropDuplicates(["__k1", "__k2"]))
+                parts = part if parts is None else parts.unionByName(part)
+            total = parts.groupBy("__k1", "__k2").agg(F.max("__s.n").alias("n"), F.sum("__s.t").alias("t"), F.sum("__s.b").alias("b"))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("b"))
+        total = total.select("__k1", "__k2", F.struct("n", "t", "b").alias("__s"))
+        summed = keyed.join(total, ["__k1", "__k2"], "left").withColumn("__s", F.coalesce("__s", none))
+    else:
+        run = _sum_losses(share(spark, next(_blocks(model, block_grams))), order)
+        summed = docs.withColumn("__s", run(raw(text_col)))
     n = F.nullif(F.col("__s.n"), F.lit(0))
     return summed.select(*docs.columns, F.col("__s.n").alias("n_tokens"), (F.col("__s.t") / n).alias("loss_target"),
                          (F.col("__s.b") / n).alias("loss_background"),

@@ -128,14 +128,16 @@ def brute_lm(rows, order, alpha):
     return out
 
 
-@pytest.mark.parametrize("block", [4_000_000, 700])
-def test_lm_losses_match_brute_force(spark, docs, block):
+@pytest.mark.parametrize("block, most", [(4_000_000, 8), (2000, 1000), (700, 1)])
+def test_lm_losses_match_brute_force(spark, docs, block, most):
+    """One broadcast block, several of them, and the join of a larger model."""
     rows = [(r.doc_id, r.text[:2000]) for r in table(spark, "documents").limit(40).collect()] + [(9001, None), (9002, ""), (9003, "ü")]
     good = {i for i, _ in rows if i % 3 == 0}
     labels = spark.createDataFrame([(i, int(i in good)) for i, _ in rows] + [(None, 1)], "doc_id long, quality int")
     d = docs(rows)
     marked = lm.target_documents(d, labels)
-    got = {r.doc_id: r for r in lm.score(d.withColumn("score", F.lit(0)), lm.train(marked, "target"), block_grams=block).collect()}
+    got = {r.doc_id: r for r in lm.score(d.withColumn("score", F.lit(0)), lm.train(marked, "target"), block_grams=block,
+                                              max_blocks=most).collect()}
     want = brute_lm([(i, t, i in good) for i, t in rows], lm.ORDER, lm.ALPHA)
     assert set(got) == set(want)
     for i, (n, t, b) in want.items():
@@ -152,6 +154,8 @@ def test_lm_without_targets_and_empty(spark, docs, odd_rows):
     d = docs(odd_rows)
     out = lm.score(d, lm.train(lm.target_documents(d, none), "target")).collect()
     assert len(out) == len(odd_rows) and all(abs(r.score) < 1e-9 for r in out)
+    joined = lm.score(d, lm.train(lm.target_documents(d, none), "target"), block_grams=10, max_blocks=1).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in joined) == sorted((r.doc_id or 0, r.n_tokens) for r in out)
     e = docs([])
     assert lm.score(e, lm.train(lm.target_documents(e, none), "target")).count() == 0
 
