@@ -41,8 +41,11 @@ def _read(docs: DataFrame) -> DataFrame:
     known = F.greatest(*[d[k].isNotNull() for k in ("location", "table-uuid", "format-version", "schemas", "schema")])
     bare = F.struct(*[d[f.name].alias(f.name) for f in METADATA_FIELDS.fields])
     md = F.coalesce(d["metadata"], F.when(known, bare))
-    return (spread(docs).withColumn("__d", got)
+    read = (spread(docs).withColumn("__d", got)
             .select(F.array_join("namespace", ".").alias("ns"), "table", "doc", md.alias("md")))
+    # a filter on md may not sink below this generator; it would parse every
+    # document a second time, once per field that it tests, on the scan's tasks
+    return read.select("ns", "table", "doc", F.explode_outer(F.array("md")).alias("md"))
 
 
 def parse(docs: DataFrame) -> DataFrame:

@@ -473,26 +473,33 @@ def q_sql_topn_group(spark, sf_dir, fan_in=O.TOP_N_FAN_IN):
 ARRAY_BLOCK = 1024  # neighbouring lines of the input whose values may share an array
 
 
-def q_sql_array(spark, sf_dir, block_rows=ARRAY_BLOCK):
-    """``sql_array`` without an array per order. No array holds more than ``block_rows`` values, however many
-    lines an order has: neighbouring rows of the input form a block, the array
-    functions run per (order, block), and sizes and sums are added up over an
-    order's blocks, the maximum is taken and the flag or-combined."""
+def _array_parts(li, by):
+    return (li.groupBy(*by).agg(F.collect_list("l_quantity").alias("qtys"))
+            .selectExpr("l_orderkey", "size(qtys) AS n_items",
+                        "aggregate(transform(qtys, q -> q * 2), 0D, (acc, q) -> acc + q) AS double_qty",
+                        "size(filter(qtys, q -> q > 25)) AS n_big",
+                        "array_max(qtys) AS max_qty",
+                        "array_contains(qtys, 1D) AS has_one"))
+
+
+def q_sql_array(spark, sf_dir, block_rows=ARRAY_BLOCK, hot_rows=O.HOT_GROUP_ROWS):
+    """``sql_array``: one array per order. An order of more than about ``hot_rows``
+    lines gets arrays of at most ``block_rows`` values instead, however many lines
+    it has: neighbouring rows of the input form a block, the array functions run
+    per (order, block), and sizes and sums are added up over an order's blocks,
+    the maximum is taken and the flag or-combined."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
-    li = li.withColumn("block", F.expr(f"monotonically_increasing_id() div {block_rows}"))
-    parts = (li.groupBy("l_orderkey", "block")
-             .agg(F.collect_list("l_quantity").alias("qtys"))
-             .selectExpr("l_orderkey", "size(qtys) AS n_items",
-                         "aggregate(transform(qtys, q -> q * 2), 0D, (acc, q) -> acc + q) AS double_qty",
-                         "size(filter(qtys, q -> q > 25)) AS n_big",
-                         "array_max(qtys) AS max_qty",
-                         "array_contains(qtys, 1D) AS has_one"))
-    return (parts.groupBy("l_orderkey")
+    usual, hot = O.split_hot(li, ["l_orderkey"], hot_rows)
+    out = _array_parts(usual, ["l_orderkey"])
+    if hot is not None:
+        blocks = hot.withColumn("block", F.expr(f"monotonically_increasing_id() div {block_rows}"))
+        out = out.unionByName(
+            _array_parts(blocks, ["l_orderkey", "block"]).groupBy("l_orderkey")
             .agg(F.sum("n_items").cast("int").alias("n_items"), F.sum("double_qty").alias("double_qty"),
                  F.sum("n_big").cast("int").alias("n_big"), F.max("max_qty").alias("max_qty"),
-                 F.bool_or("has_one").alias("has_one"))
-            .withColumn("via_map", F.expr(
-                "element_at(map_from_entries(array(struct('n' AS k, n_items AS v), struct('b' AS k, n_big AS v))), 'b')")))
+                 F.bool_or("has_one").alias("has_one")))
+    return out.withColumn("via_map", F.expr(
+        "element_at(map_from_entries(array(struct('n' AS k, n_items AS v), struct('b' AS k, n_big AS v))), 'b')"))
 
 
 def q_sql_preview(spark, sf_dir):

@@ -21,10 +21,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     their row id over all cores: no sort (unlike round-robin) and no column
     reference, so column pruning still reaches the scan. A large table has
     more files than that and is returned untouched (no extra shuffle at
-    scale). Listing files runs no job.
+    scale), and so is a plan that repartitions already. Listing files runs no
+    job.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if 0 < len(df.inputFiles()) < target:
+    spread_before = "RepartitionByExpression" in df._jdf.queryExecution().analyzed().toString()
+    if not spread_before and 0 < len(df.inputFiles()) < target:
         return df.repartition(target, F.monotonically_increasing_id())
     return df
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakejobs.operators import silver as S
 from lakejobs.operators import telemetry as O
 from lakejobs.operators import vector as V
-from lakejobs.plans import lake, telemetry, vectors
+from lakejobs.plans import catalog, lake, telemetry, vectors
 from lakejobs.schemas import RAW_USER_EVENT
 from lakejobs.session import work_dir
 from lakejobs.sources.raw import write_raw
@@ -271,6 +271,12 @@ def test_buckets_follow_the_size_of_the_table(spark, sf_dir, monkeypatch):
     assert out.count() == base.count() and out.where("version = 2").count() == base.count()
 
 
+def test_every_metadata_document_is_parsed_once(spark, sf_dir):
+    for q in ("tbl_fields", "tbl_partitions", "tbl_metrics", "tbl_rejects", "tbl_properties"):
+        df = catalog.QUERIES[q](spark, sf_dir)
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1, q
+
+
 def test_half_compacted_table_reads_as_before(spark, sf_dir):
     path = work_dir(spark, "t-compact")
     base = read_table(spark, sf_dir, "embeddings").select("vec_id", F.lit(1).alias("version"))
@@ -400,8 +406,8 @@ def test_array_functions_see_single_lines_of_hot_orders(spark, sf_dir):
     assert lines[0] == [] and max(map(len, lines.values())) > 500
     want = sorted((k, len(v), sum(2 * x for x in v), sum(x > 25 for x in v), max(v, default=None), 1.0 in v,
                    sum(x > 25 for x in v)) for k, v in lines.items())
-    for block_rows in (1, 100, conformance.ARRAY_BLOCK):
-        got = conformance.q_sql_array(spark, base, block_rows)
+    for block_rows, hot_rows in ((1, 0), (100, 50), (conformance.ARRAY_BLOCK, 50), (100, 1_000_000)):
+        got = conformance.q_sql_array(spark, base, block_rows, hot_rows)
         assert got.columns == ["l_orderkey", "n_items", "double_qty", "n_big", "max_qty", "has_one", "via_map"]
         assert sorted(map(tuple, got.collect())) == want
     assert sorted(map(tuple, conformance.QUERIES["sql_array"](spark, base).collect())) == want
