@@ -66,7 +66,9 @@ def number_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"),
         F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"),
         F.octet_length(said[1]).cast("long").alias("n_bytes"))
-    placed = positions(rows, ["conv_id", F.col("turn").asc_nulls_first(), "h1", "h2"])
+    # the row number lets the sort split even a conversation of equal rows
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = positions(rows, ["conv_id", F.col("turn").asc_nulls_first(), "h1", "h2", "row"])
     return attach(placed, group_starts(placed, ["conv_id"]), ["conv_id"]).select(
         "conv_id", (F.col(POS) - F.col("_start") + 1).alias("pos"), "h1", "h2", "n_bytes")
 
