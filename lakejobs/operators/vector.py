@@ -363,20 +363,30 @@ def _nearest_cells(qv: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarr
     return np.concatenate(out) if out else np.empty((0, nprobe), dtype=np.int64)
 
 
-def build_ivf(corpus: DataFrame, path: str, n_cells: int, seed: int = 7, id_col: str = "vec_id",
+MIN_CELLS, MAX_CELLS = 16, 4096  # of an index whose caller names no number
+
+
+def default_cells(n_rows: int) -> int:
+    """The square root of the rows, in bounds: choosing cells and scoring one
+    then cost about the same."""
+    return max(MIN_CELLS, min(MAX_CELLS, math.isqrt(n_rows)))
+
+
+def build_ivf(corpus: DataFrame, path: str, n_cells: int | None = None, seed: int = 7, id_col: str = "vec_id",
               vec_col: str = "embedding", max_iter: int = 20, train_rows: int = 1_000_000) -> dict:
     """Coarse index for approximate search: k-means cells (distributed
     training), every vector stored in the folder of its cell, so a search reads
     only the cells it probes (partition pruning). The centres are fitted on
     about ``train_rows`` sampled vectors; all vectors are indexed. Returns the
-    index description: cell centres (n_cells x dim, small) and the path."""
+    index description: cell centres (n_cells x dim, small; by default
+    :func:`default_cells` of them) and the path."""
     feats = spread(corpus.select(id_col, vec_col)).where(F.col(vec_col).isNotNull()).withColumn(
         "_f", array_to_vector(vec_col))
     n = feats.count()
     sample = feats if n <= train_rows else feats.sample(fraction=train_rows / n, seed=seed)
     shared_root(corpus.sparkSession)
     sample = sample.select("_f").checkpoint(eager=True)    # k-means passes over it many times
-    km = KMeans(k=n_cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(sample)
+    km = KMeans(k=n_cells or default_cells(n), seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(sample)
     (by_partition(km.transform(feats).select(id_col, vec_col, "cell"), ["cell"])
      .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cell").parquet(path))
     return {"path": path, "centers": np.array(km.clusterCenters())}

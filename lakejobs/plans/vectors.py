@@ -18,10 +18,10 @@ PUBLISHED_BEFORE = "2024-01-15"
 BATCH = f"CASE WHEN ingested_at < TIMESTAMP_NTZ'{PUBLISHED_BEFORE} 00:00:00' AND event_id % 10 <> 0 THEN 0L ELSE 1L END"
 BATCH_ORACLE = f"CASE WHEN ingested_at < TIMESTAMP '{PUBLISHED_BEFORE} 00:00:00' AND event_id % 10 <> 0 THEN 0 ELSE 1 END"
 TOPK = 10
-# Cells of the index, and the share of the exact answers that a search of it
-# must find. The number of cells to probe is measured, on every row whose id
-# QUERY_EVERY divides among others.
-N_CELLS, RECALL = 16, 0.9
+# Share of the exact answers that a search of the index must find. The number of
+# cells grows with the table; the number of cells to probe is measured, on every
+# row whose id QUERY_EVERY divides among others.
+RECALL = 0.9
 QUERY_EVERY = 100
 
 
@@ -99,10 +99,10 @@ def q_vector_topk_approx(spark, sf_dir):
     these queries and for the table's own rows (:func:`rows_probes`), finds at
     least ``RECALL`` of them."""
     corpus = read_table(spark, sf_dir, "embeddings")
-    index = V.build_ivf(corpus, work_dir(spark, "ivf"), N_CELLS)
+    index = V.build_ivf(corpus, work_dir(spark, "ivf"))
     shared_root(spark)
     queries = _label_queries(spark, sf_dir).checkpoint(eager=True)  # a few rows, read several times
-    full = V.top_k_approx(spark, index, queries, nprobe=N_CELLS, k=TOPK).checkpoint(eager=True)
+    full = V.top_k_approx(spark, index, queries, nprobe=len(index["centers"]), k=TOPK).checkpoint(eager=True)
     nprobe = max(rows_probes(spark, corpus, index),
                  V.probes_for(V.found_by_probes(spark, index, queries, full), RECALL, each=True))
     part = V.top_k_approx(spark, index, queries, nprobe=nprobe, k=TOPK)
@@ -124,7 +124,7 @@ def q_vector_rows_approx(spark, sf_dir):
     in numbers measured to find ``RECALL`` of the exact answers. All rows are
     indexed."""
     corpus = read_table(spark, sf_dir, "embeddings")
-    index = V.build_ivf(corpus, work_dir(spark, "ivf"), N_CELLS)
+    index = V.build_ivf(corpus, work_dir(spark, "ivf"))
     nprobe = rows_probes(spark, corpus, index)
     res = V.top_k_approx(spark, index, _row_queries(corpus), nprobe=nprobe, k=TOPK)
     return res.select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))

@@ -75,7 +75,7 @@ def test_approx_recall(spark, sf_dir):
 
 def test_measured_probes_are_the_fewest_that_reach_the_recall(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
-    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"), vectors.N_CELLS)
+    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"))
     rows = vectors._row_queries(corpus)
     exact = V.top_k(corpus, rows, k=10)
     found = V.found_by_probes(spark, index, rows, exact).checkpoint()
@@ -93,6 +93,14 @@ def test_measured_probes_are_the_fewest_that_reach_the_recall(spark, sf_dir):
     assert V.probes_for(nothing, 0.9) == V.probes_for(nothing, 0.9, each=True) == 1
 
 
+def test_cells_grow_with_the_table(spark, sf_dir):
+    assert [V.default_cells(n) for n in (0, 100, 10_000, 1 << 40)] == [16, 16, 100, 4096]
+    corpus = read_table(spark, sf_dir, "embeddings")
+    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"))
+    assert 2 <= len(index["centers"]) <= V.default_cells(corpus.count())
+    assert spark.read.parquet(index["path"]).count() == corpus.count()
+
+
 def test_flag_of_the_approximate_search_is_measured(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(V, "probes_for", lambda *a, **k: 1)
     assert not all(r.recall_ok for r in vectors.q_vector_topk_approx(spark, sf_dir).collect())
@@ -100,7 +108,7 @@ def test_flag_of_the_approximate_search_is_measured(spark, sf_dir, monkeypatch):
 
 def test_cosine_probes_do_not_depend_on_the_length_of_a_query(spark, sf_dir):
     corpus = read_table(spark, sf_dir, "embeddings")
-    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"), vectors.N_CELLS)
+    index = V.build_ivf(corpus, work_dir(spark, "t-ivf"))
     rows = vectors._row_queries(corpus)
     short = rows.withColumn("embedding", F.transform("embedding", lambda x: x * 0.01))
     got = [sorted((r.qid, r.vec_id) for r in V.top_k_approx(spark, index, q, nprobe=3).collect()) for q in (rows, short)]
