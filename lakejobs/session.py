@@ -61,6 +61,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # folders are listed by a task each otherwise, thousands of them on a few cores
+    conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = "64"
     conf.setdefault("spark.driver.memory", os.environ.get("LAKEJOBS_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
