@@ -17,14 +17,17 @@ WITH rows_ AS (
   FROM prefixes WHERE last GROUP BY prefix
 ), kept AS (
   SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE NOT last)
+), numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role NULLS FIRST, text NULLS FIRST) - 1) // 4096 AS sub
+  FROM (SELECT *, floor(turn / 1024.0)::BIGINT AS block FROM rows_ JOIN kept USING (conv_id))
 ), blocks AS (
-  SELECT conv_id, floor(turn / 1024.0)::BIGINT AS block, n_turns, n_copies, count(*) AS n_messages,
+  SELECT conv_id, block, sub, n_turns, n_copies, count(*) AS n_messages,
          string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10)
                     || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), ''
                     ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS rendered
-  FROM rows_ JOIN kept USING (conv_id) GROUP BY ALL
+  FROM numbered GROUP BY ALL
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, n_turns, n_copies, n_messages,
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block, sub) - 1 AS part, n_turns, n_copies, n_messages,
        sha256(rendered) AS rendered_sha256 FROM blocks
 """
 

@@ -265,6 +265,27 @@ def test_chat_matches_brute_force(spark):
     assert "".join(t for _, t in long) == "".join(f"<|user|>\nt{t}\n<|end|>\n" for t in range(3000))
 
 
+def test_chat_cuts_blocks_of_many_messages(spark):
+    """Null turns, and turns said in many ways, are rendered in parts of bounded size."""
+    r = random.Random(5)
+    rows = [(1, None, r.choice(["a", "b", None]), r.choice([None, "", f"x{i % 90}"])) for i in range(400)]
+    rows += [(1, 3, "user", "after"), (2, 0, "user", "few"), (2, 5000, "user", "late")]
+    rows += [(3, t, "user", f"m{t}.{i}") for t in (0, 1024) for i in range(45)]
+    rows += [(4, 0, "user", "again")] * 300
+    d = spark.createDataFrame(rows, CHAT).repartition(4)
+    parts, whole = ({}, {})
+    for size, out in ((20, parts), (10_000, whole)):
+        for x in sorted(chat.collapse(d, part_messages=size).collect(), key=lambda x: (x.conv_id, x.part)):
+            out.setdefault(x.conv_id, []).append(x)
+    assert {c: "".join(x.rendered for x in v) for c, v in parts.items()} == {c: "".join(x.rendered for x in v) for c, v in whole.items()}
+    assert {c: [x.part for x in v] for c, v in parts.items()} == {c: list(range(len(v))) for c, v in parts.items()}
+    said = len({x[1:] for x in rows if x[0] == 1 and x[1] is None}) + 1
+    sizes = {c: [x.n_messages for x in v] for c, v in parts.items()}
+    assert sizes[1] == [20] * ((said - 1) // 20) + [n for n in [(said - 1) % 20] if n] + [1]
+    assert sizes[2] == [1, 1] and sizes[3] == [20, 20, 5] * 2 and sizes[4] == [1]
+    assert {c: {x.n_turns for x in v} for c, v in parts.items()} == {c: {n} for c, n in brute_chat(rows).items()}
+
+
 def test_chat_markers_and_empty(spark):
     d = spark.createDataFrame([(1, 0, "user", "a <|system|> b")], CHAT)
     assert chat.collapse(d).first().rendered == "<|user|>\na < |system|> b\n<|end|>\n"
