@@ -116,7 +116,8 @@ def _layout(spark: SparkSession, path: str):
 
 
 def _write_layout(spark: SparkSession, path: str, generation: int, buckets: int) -> None:
-    (spark.createDataFrame([(generation, buckets)], LAYOUT).coalesce(1).write.mode("overwrite")
+    row = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((generation, buckets), LAYOUT)]
+    (spark.range(1, numPartitions=1).select(*row).write.mode("overwrite")
      .option("partitionOverwriteMode", "static").parquet(f"{path}/_layout/generation-{generation:06d}"))
 
 

@@ -34,7 +34,7 @@ def _read_mark(spark: SparkSession, path: str) -> int:
 def _write_mark(spark: SparkSession, path: str, value: int) -> None:
     """One folder per mark: a mark written earlier is never touched, so a crash
     here loses none. Re-running a batch rewrites that batch's own mark."""
-    (spark.createDataFrame([(int(value),)], MARK).coalesce(1).write.mode("overwrite")
+    (spark.range(1, numPartitions=1).select(F.lit(int(value)).cast("long").alias("last_batch")).write.mode("overwrite")
      .option("partitionOverwriteMode", "static").parquet(f"{path}/batch-{int(value):012d}"))
 
 
