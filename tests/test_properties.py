@@ -93,6 +93,25 @@ def test_measured_probes_are_the_fewest_that_reach_the_recall(spark, sf_dir):
     assert V.probes_for(nothing, 0.9) == V.probes_for(nothing, 0.9, each=True) == 1
 
 
+def test_probes_are_measured_on_a_bounded_number_of_queries(spark, sf_dir, monkeypatch):
+    corpus = read_table(spark, sf_dir, "embeddings")
+    monkeypatch.setattr(vectors, "QUERY_EVERY", 1)
+    rows = vectors._row_queries(corpus)
+    assert vectors.measured_queries(rows) == (rows, True)
+    some, complete = vectors.measured_queries(rows, 100)
+    assert not complete and 60 < some.count() < 140
+    monkeypatch.setattr(vectors, "PROBE_QUERIES", 100)
+    searched = []
+    top_k = V.top_k
+    monkeypatch.setattr(V, "top_k", lambda c, q, **k: searched.append(q.count()) or top_k(c, q, **k))
+    found = vectors.q_vector_rows_approx(spark, sf_dir)
+    assert searched == [some.count()]
+    # all queries are answered, and found as well as the measured ones
+    exact = top_k(corpus, rows, k=vectors.TOPK)
+    assert found.select("qid").distinct().count() == rows.count()
+    assert _recall(found, exact) >= vectors.RECALL
+
+
 def test_cells_grow_with_the_table(spark, sf_dir):
     assert [V.default_cells(n) for n in (0, 100, 10_000, 1 << 40)] == [16, 16, 100, 4096]
     corpus = read_table(spark, sf_dir, "embeddings")
