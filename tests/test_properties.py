@@ -438,3 +438,28 @@ def test_array_functions_see_single_lines_of_hot_orders(spark, sf_dir):
         assert got.columns == ["l_orderkey", "n_items", "double_qty", "n_big", "max_qty", "has_one", "via_map"]
         assert sorted(map(tuple, got.collect())) == want
     assert sorted(map(tuple, conformance.QUERIES["sql_array"](spark, base).collect())) == want
+
+
+def test_approx_counts_no_flag_in_one_task(spark, sf_dir):
+    """Lines meet the sketches where they lie and are dealt out by (flag, order),
+    also where Spark would not broadcast the sketches by itself."""
+    from lakejobs.plans import conformance
+    base = work_dir(spark, "t-approx")
+    spark.range(6000).selectExpr(
+        "CASE WHEN id % 100 < 90 THEN 'N' WHEN id % 100 < 98 THEN 'R' END AS l_returnflag",
+        "CASE WHEN id % 7 > 0 THEN id div 4 END AS l_orderkey", "CAST(id % 50 AS DOUBLE) AS l_quantity",
+        "CAST(id % 997 AS DOUBLE) AS l_extendedprice").write.parquet(f"{base}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = conformance.QUERIES["sql_approx"](spark, base)
+        got = sorted(df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    li = read_table(spark, base, "lineitem")
+    want = sorted(tuple(r) for r in li.where("l_returnflag IS NOT NULL").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)), F.countDistinct("l_orderkey")).collect())
+    assert [tuple(r) for r in got] == [(*w, True, True, True, True) for w in want]
+    plan = _plan(df)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "REPARTITION_BY_NUM" in plan
