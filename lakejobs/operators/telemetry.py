@@ -9,9 +9,18 @@ the shuffles left are the aggregations by pod and by service.
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakejobs.functions.quantity import cpu_millicores, mem_bytes, tail_size
 from lakejobs.functions.status import (HEALTHY, PENDING, pod_health, pod_phase,
@@ -276,7 +285,62 @@ def grep(logs: DataFrame, text: str | None, col: str = "line") -> DataFrame:
 LOG_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def export(logs: DataFrame, path: str, by: str = "pod", hot_rows: int = HOT_GROUP_ROWS) -> None:
+# Lines of one exported file at most.
+EXPORT_FILE_ROWS = 1_000_000
+# Characters that a folder ``column=value`` holds as %XX, and the value of a missing one, as Spark writes them.
+FOLDER_ESCAPES = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+MISSING_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder_files(top: str, by: str, file_rows: int):
+    """Writes sorted rows (folder value, line) as text files ``by=value/part-*``
+    under ``top``. A file gets its name, the same in every attempt of a task,
+    when it is complete; until then it lies in ``_temporary``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f"{top}/_temporary/{uuid.uuid4().hex}"
+        os.makedirs(own)
+        task = TaskContext.get().partitionId()
+        out, value, rows, part = None, None, 0, 0
+
+        def finish():
+            out.close()
+            name = MISSING_FOLDER if value is None else FOLDER_ESCAPES.sub(lambda m: f"%{ord(m[0]):02X}", value)
+            os.makedirs(f"{top}/{by}={name}", exist_ok=True)
+            os.replace(f"{own}/open", f"{top}/{by}={name}/part-{task:05d}.c{part:03d}.txt")
+
+        for b in batches:
+            lines, at = b.column(1).to_pylist(), 0
+            for v, same in groupby(b.column(0).to_pylist()):
+                end = at + sum(1 for _ in same)
+                while at < end:
+                    if out is None or v != value or rows >= file_rows:
+                        if out is not None:
+                            finish()
+                        part = part + 1 if out is not None and v == value else 0
+                        out, value, rows = open(f"{own}/open", "wb"), v, 0
+                    upto = min(end, at + file_rows - rows)
+                    out.write(b"\n".join(lines[at:upto]) + b"\n")
+                    rows, at = rows + upto - at, upto
+        if out is not None:
+            finish()
+        yield from ()
+    return run
+
+
+def _drop_folders(top: str, shares: int):
+    """Deletes the given shares of the folders under ``top``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = set(b.column(0).to_pylist())
+            for name in os.listdir(top):
+                if zlib.crc32(os.fsencode(name)) % shares in own:
+                    shutil.rmtree(f"{top}/{name}", ignore_errors=True)
+        yield from ()
+    return run
+
+
+def export(logs: DataFrame, path: str, by: str = "pod", hot_rows: int = HOT_GROUP_ROWS,
+           file_rows: int = EXPORT_FILE_ROWS) -> None:
     """Write log lines as plain text files, one folder per pod (OBS-22). Lines
     are in order of time and line number inside each file. A new export replaces
     the last one whole, pods that are gone included.
@@ -284,19 +348,61 @@ def export(logs: DataFrame, path: str, by: str = "pod", hot_rows: int = HOT_GROU
     Opening a file per pod is the work, however few bytes the lines have, so
     pods are dealt out over all shuffle partitions, which are not merged by
     size. A pod of more than about ``hot_rows`` lines is too large for one task:
-    such pods are rebalanced, and split over several files, by size."""
+    such pods are rebalanced, and split over several files, by size.
+
+    On a mounted folder (``file:``) Hadoop starts a process for the permissions
+    of every file and folder that it makes, which takes nearly all the time of
+    small files. There the tasks make the files themselves, in a folder beside
+    ``path`` that takes its place when all are done; other file systems are
+    written by Spark's text writer."""
+    spark = logs.sparkSession
     line = F.concat_ws(" ", F.date_format("ts", LOG_TS_FORMAT), F.col("line"))
-    usual, hot = split_hot(logs.select(by, "ts", "line_no", line.alias("value")), [by], hot_rows)
-    dealt = usual.repartition(int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    folder = F.nullif(F.col(by).cast("string"), F.lit(""))
+    usual, hot = split_hot(logs.select(folder.alias(by), "ts", "line_no", line.alias("value")), [by], hot_rows)
+    dealt = usual.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
     if hot is not None:
         dealt = dealt.unionByName(hot.hint("rebalance", F.col(by)))
-    (dealt.sortWithinPartitions(by, "ts", "line_no").select(by, "value")
-     .write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .option("maxRecordsPerFile", 1_000_000).partitionBy(by).text(path))
+    files = dealt.sortWithinPartitions(by, "ts", "line_no").select(by, "value")
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    to = fs.makeQualified(to)
+    if to.toUri().getScheme() != "file":
+        (files.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .option("maxRecordsPerFile", file_rows).partitionBy(by).text(path))
+        return
+    new = to.suffix(f".{uuid.uuid4().hex}")
+    try:
+        fs.mkdirs(new)
+        (files.select(by, F.col("value").cast("binary"))
+         .mapInArrow(_folder_files(new.toUri().getPath(), by, file_rows), "none int")
+         .write.format("noop").mode("overwrite").save())
+        fs.delete(new.suffix("/_temporary"), True)
+        fs.create(new.suffix("/_SUCCESS")).close()
+        old = to.suffix(f".{uuid.uuid4().hex}") if fs.exists(to) else None
+        if old is not None and not fs.rename(to, old):
+            raise OSError(f"cannot replace the export {to}")
+        if not fs.rename(new, to):
+            if old is not None:
+                fs.rename(old, to)
+            raise OSError(f"cannot move the export to {to}")
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    if old is not None:
+        n = spark.sparkContext.defaultParallelism
+        try:
+            (spark.range(n, numPartitions=n).mapInArrow(_drop_folders(old.toUri().getPath(), n), "none int")
+             .write.format("noop").mode("overwrite").save())
+        finally:
+            fs.delete(old, True)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The exported lines. The pod is declared as text, so ``007`` stays ``007``."""
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("pod", T.StringType())])
-    return (spark.read.schema(schema).option("basePath", path).text(path)
-            .select("pod", F.col("value").alias("line")))
+    """The exported lines. The pod is text, so ``007`` stays ``007``. It is read
+    off each file's folder: Spark's partition discovery takes time that grows as
+    the square of the number of folders."""
+    pod = F.regexp_extract(F.col("_metadata.file_path"), "/pod=([^/]*)/[^/]*$", 1)
+    for _ in range(2):  # of the path as a URL, then of the folder's name; there a plus is no blank
+        pod = F.url_decode(F.replace(pod, F.lit("+"), F.lit("%2B")))
+    return (spark.read.schema("value string").option("recursiveFileLookup", "true").text(path)
+            .select(F.nullif(pod, F.lit(MISSING_FOLDER)).alias("pod"), F.col("value").alias("line")))

@@ -216,3 +216,37 @@ def test_export_of_a_hot_pod_is_whole_and_in_order(spark, tmp_path, hot_rows):
     for f in tmp_path.glob("pod=*/part-*"):
         lines = f.read_text().splitlines()
         assert lines == sorted(lines)
+
+
+def test_export_is_what_sparks_text_writer_makes(spark, tmp_path):
+    """The same folders and lines, for odd pod names too, but no file of Hadoop's
+    local file system, which starts processes for each; long files are cut."""
+    pods = ["a", "p=1/x:y", "ü é", "50%", "[b]^{c}", 'q"\'#*?\\', "t\tn\n", " ", "a+b %41", "", None, "007"]
+    rows = [(p, dt.datetime(2024, 1, 1), i, f"l{i:04d}" if i % 9 else None) for p in pods for i in range(60)]
+    logs = spark.createDataFrame(rows, "pod string, ts timestamp_ntz, line_no long, line string").repartition(5)
+    ours, sparks = str(tmp_path / "ours"), str(tmp_path / "sparks")
+    for _ in range(2):
+        O.export(logs, ours, file_rows=25)
+    value = F.concat_ws(" ", F.date_format("ts", O.LOG_TS_FORMAT), "line").alias("value")
+    logs.select("pod", value).write.partitionBy("pod").text(sparks)
+    assert {x.name for x in (tmp_path / "ours").iterdir()} == {x.name for x in (tmp_path / "sparks").iterdir()}
+    got, want = (sorted((r.pod or "", r.line) for r in O.read_export(spark, x).collect()) for x in (ours, sparks))
+    assert got == want and len(got) == len(rows)
+    assert {r.pod for r in O.read_export(spark, ours).collect()} == {p or None for p in pods}
+    files = sorted((tmp_path / "ours" / "pod=007").iterdir())
+    assert [len(f.read_text().splitlines()) for f in files] == [25, 25, 10]
+    assert not list((tmp_path / "ours").glob("pod=*/.*.crc"))
+
+
+def test_failing_export_leaves_the_last_one_whole(spark, tmp_path):
+    logs = spark.range(50).selectExpr("concat('p', id % 5) AS pod", "timestamp_ntz'2024-01-01 00:00:00' AS ts",
+                                      "id AS line_no", "concat('l', id) AS line")
+    top = tmp_path / "logs"
+    O.export(logs, str(top))
+    with pytest.raises(Exception, match="lost line"):
+        O.export(logs.withColumn("line", F.when(F.col("line_no") == 40, F.raise_error(F.lit("lost line")).cast("string"))
+                                 .otherwise(F.col("line"))), str(top))
+    assert O.read_export(spark, str(top)).count() == 50
+    assert [x.name for x in tmp_path.iterdir()] == ["logs"]
+    O.export(logs.limit(0), str(top))
+    assert O.read_export(spark, str(top)).count() == 0
